@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, simhash, substring, url_filter
-from .common import table
+from . import chat, decontaminate, packing, pii, simhash, substring, toxicity, url_filter
+from .common import hold_out, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(url_filter.fetched(pages), url_filter.sample_list(pages))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", hold_out("doc_id", 4, 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "evidence", "terms",
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -46,7 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_chat_formatting, op4_simhash, op7_url_filters, op9_pii, op10_line_dedup)
+    for f in (
+        op1_decontamination, op2_best_fit_packing, op3_chat_formatting, op4_simhash, op7_url_filters,
+        op8_toxicity, op9_pii, op10_line_dedup,
+    )
 }
 ORACLE = {
     "op3_chat_formatting": chat.ORACLE,
