@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, simhash, substring, toxicity, url_filter
+from . import chat, decontaminate, embed_dedup, packing, pii, quality, simhash, substring, toxicity, url_filter
 from .common import hold_out, table
 
 
@@ -29,6 +29,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", hold_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(url_filter.fetched(pages), url_filter.sample_list(pages))
@@ -59,8 +70,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_best_fit_packing, op3_chat_formatting, op4_simhash, op7_url_filters,
-        op8_toxicity, op9_pii, op10_line_dedup,
+        op1_decontamination, op2_best_fit_packing, op3_chat_formatting, op4_simhash, op5_quality, op6_embedding_dedup,
+        op7_url_filters, op8_toxicity, op9_pii, op10_line_dedup,
     )
 }
 ORACLE = {

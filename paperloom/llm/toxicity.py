@@ -20,7 +20,7 @@ from .common import hold_out, id_and_text, materialize
 EXAMPLES = 6000
 #: Terms of the index at most, and what a term must show: positive examples that hold it, and standard errors by which
 #: it is commoner among them.
-TERMS, LEAST_DOCS, LEAST_Z = 4096, 4, 4.5
+TERMS, LEAST_DOCS, LEAST_Z = 4096, 5, 6.0
 NEIGHBOURS = 20
 BLOCK = 64
 #: Weight of the overall rate among a vote's neighbours.
