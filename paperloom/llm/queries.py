@@ -67,11 +67,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_best_fit_packing, op3_chat_formatting, op4_simhash, op5_quality, op6_embedding_dedup,
-        op7_url_filters, op8_toxicity, op9_pii, op10_line_dedup,
+        op7_url_filters, op8_toxicity, op9_pii, op10_line_dedup, pipeline,
     )
 }
 ORACLE = {

@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return own.join(placed, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, whole and with all columns."""
     found = near_duplicates(docs, size, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
