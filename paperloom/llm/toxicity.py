@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +24,8 @@ NEIGHBOURS = 20
 BLOCK = 64
 #: Weight of the overall rate among a vote's neighbours.
 PRIOR_WEIGHT = 1.0
+#: Weight of all words outside the index's terms, as one term.
+OTHER_WEIGHT = 1.5
 #: Least score of a rejected document.
 REJECT = 0.3
 _WORD = re.compile(r"\w+")
@@ -35,41 +36,53 @@ def words(text: str) -> list[str]:
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in an inverted index with the greatest weight of each block of examples."""
+    """Examples as unit TF-IDF vectors in an inverted index with the greatest weight of each block of examples.
+
+    All words outside the index's terms count as one more term of fixed weight, so a single suspect word in a long text
+    stays near clean examples. Examples of equal vectors are one entry with a count of each label.
+    """
 
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]):
         self.terms = {t: k for k, t in enumerate(terms)}
         self.names = terms
-        self.idf = idf
-        own = [(i, y, *self.vector(t, c)) for i, y, t, c in sorted(examples)]
-        empty = [y for _, y, t, _ in own if not len(t)]
-        self.rate = (sum(y for _, y, *_ in own) + 1) / (len(own) + 2)
+        self.idf = np.append(idf, OTHER_WEIGHT)
+        own: dict[tuple, list[tuple[int, int]]] = {}
+        for i, y, t, c in sorted(examples):
+            own.setdefault(self.key(dict(zip(t, c))), []).append((i, y))
+        labels = [y for members in own.values() for _, y in members]
+        self.rate = (sum(labels) + 1) / (len(labels) + 2)
+        empty = [y for _, y in own.pop((), [])]
         self.empty_score = (sum(empty) + self.rate) / (len(empty) + 1)
-        own = [x for x in own if len(x[2])]
-        self.ids = [x[0] for x in own]
-        self.label = np.array([x[1] for x in own], float)
+        self.ids = [[i for i, _ in m] for m in own.values()]
+        self.size = [len(m) for m in own.values()]
+        self.toxic = [sum(y for _, y in m) for m in own.values()]
+        vectors = [self.vector(k) for k in own]
         self.blocks = -(-len(own) // BLOCK)
-        rows: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for d, (_, _, t, w) in enumerate(own):
+        rows: list[list[tuple[int, float]]] = [[] for _ in self.idf]
+        for d, (t, w) in enumerate(vectors):
             for k, v in zip(t.tolist(), w.tolist()):
                 rows[k].append((d, v))
         self.docs = [np.array([d for d, _ in r], np.int64) for r in rows]
         self.weights = [np.array([v for _, v in r], float) for r in rows]
-        self.bound = np.zeros((len(terms), max(1, self.blocks)))
+        self.bound = np.zeros((len(self.idf), max(1, self.blocks)))
         for k, (d, v) in enumerate(zip(self.docs, self.weights)):
             np.maximum.at(self.bound[k], d // BLOCK, v)
         self.votes: dict[tuple, tuple[float, list[int]]] = {}
         self.steps: tuple[list[float], list[float]] = ([], [])
-        self.calibrate([(x[2], x[3]) for x in own])
+        self.calibrate(vectors)
+
+    def key(self, counts: dict[int, int]) -> tuple:
+        """Equal for texts of equal vectors."""
+        return tuple(sorted(counts.items())) if len(counts) > 1 else tuple((k, 1) for k in counts)
 
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t] if len(t) else np.zeros(0)
+    def vector(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+        t = np.array([k for k, _ in key], np.int64)
+        w = (1 + np.log(np.array([c for _, c in key], float))) * self.idf[t] if len(t) else np.zeros(0)
         norm = math.sqrt(float(w @ w))
         return (t, w / norm) if norm > 0 else (t[:0], w[:0])
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the greatest cosine (positive; ties by their order), found exactly.
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """Entries of the greatest cosine (positive; ties by their order) until they hold k examples, found exactly.
 
         Blocks are scored in falling order of their bound, until no bound exceeds the k-th cosine.
         """
@@ -83,68 +96,84 @@ class Index:
                 lo, hi = np.searchsorted(self.docs[x], (b * BLOCK, (b + 1) * BLOCK))
                 score[self.docs[x][lo:hi] - b * BLOCK] += v * self.weights[x][lo:hi]
             for d in np.flatnonzero(score > 0):
-                at = int(b) * BLOCK + int(d)
-                if at == without:
-                    continue
-                entry = (round(float(score[d]), 12), -at)
+                entry = (round(float(score[d]), 12), -(int(b) * BLOCK + int(d)))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
         return [(s, -d) for s, d in sorted(best, reverse=True)]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Labels weighted by the inverse of the distance, with the overall rate as one far neighbour more."""
-        total, toxic = PRIOR_WEIGHT, PRIOR_WEIGHT * self.rate
+    def vote(self, near: list[tuple[float, int]], without: int = -1, label: int = 0) -> float:
+        """Labels of the nearest examples weighted by the inverse of their distance, with the overall rate as one
+        neighbour more. Of an entry that holds more than are still asked for, each label counts by its share.
+        ``without``: one example of that label of this entry is left out."""
+        total, toxic, left = PRIOR_WEIGHT, PRIOR_WEIGHT * self.rate, NEIGHBOURS
         for s, d in near:
-            w = 1 / (0.1 + max(0.0, 1 - s))
-            total, toxic = total + w, toxic + w * self.label[d]
+            n, y = self.size[d] - (d == without), self.toxic[d] - (d == without) * label
+            take = min(n, left)
+            if take:
+                w = take / (0.1 + max(0.0, 1 - s))
+                total, toxic, left = total + w, toxic + w * y / n, left - take
+            if not left:
+                break
         return toxic / total
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Isotonic steps from votes to rates, each example's vote taken without itself."""
-        votes = sorted((self.vote(self.nearest(t, w, NEIGHBOURS, d)), self.label[d]) for d, (t, w) in enumerate(vectors))
+        """Isotonic steps from votes to rates, straight between them; each example's vote is taken without itself."""
+        votes = []
+        for d, (t, w) in enumerate(vectors):
+            near = self.nearest(t, w, NEIGHBOURS + 1)
+            for label, n in ((0, self.size[d] - self.toxic[d]), (1, self.toxic[d])):
+                if n:
+                    votes.append((self.vote(near, d, label), label * n, n))
         pools: list[list[float]] = []
-        for v, y in votes:
-            pools.append([v, y, 1])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                _, y2, n2 = pools.pop()
-                pools[-1][1] += y2
-                pools[-1][2] += n2
-        self.steps = ([p[0] for p in pools], [(p[1] + self.rate) / (p[2] + 1) for p in pools])
+        for v, y, n in sorted(votes):
+            pools.append([v, v, y, n])
+            while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+                _, last, y2, n2 = pools.pop()
+                pools[-1][1:] = [last, pools[-1][2] + y2, pools[-1][3] + n2]
+        rates = [(p[2] + self.rate) / (p[3] + 1) for p in pools]
+        self.steps = ([v for p in pools for v in p[:2]], [r for r in rates for _ in range(2)])
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        """Score, ids of the nearest examples, and the terms they share."""
-        t, w = self.vector(*zip(*sorted(counts.items()))) if counts else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(t):
-            return self.empty_score, [], []
-        key = tuple(sorted(counts.items()))
+        """Score; where the text holds terms of the index also the nearest examples and the terms."""
+        key = self.key(counts)
         if key not in self.votes:
             if len(self.votes) > 50_000:
                 self.votes.clear()
-            near = self.nearest(t, w, NEIGHBOURS)
+            t, w = self.vector(key)
+            near = self.nearest(t, w, NEIGHBOURS) if len(t) else []
             v = self.vote(near)
-            k = bisect_right(self.steps[0], v) - 1
-            out = self.steps[1][max(k, 0)] if self.steps[1] else v
-            self.votes[key] = (out, [self.ids[d] for _, d in near[:3]])
-        return *self.votes[key], [self.names[x] for x in t.tolist()]
+            out = self.empty_score if not len(t) else float(np.interp(v, *self.steps)) if self.steps[1] else v
+            self.votes[key] = (out, [i for _, d in near for i in self.ids[d][:3]][:3])
+        terms = [self.names[x] for x, _ in key if x < len(self.names)]
+        out, near = self.votes[key]
+        return out, near if terms else [], terms
 
     def __getstate__(self):
         return self.__dict__ | {"votes": {}}
 
     def counts(self, text: str) -> dict[int, int]:
-        get = self.terms.get
-        return Counter(k for x in words(text) if (k := get(x)) is not None)
+        return term_counts(text, self.terms)
+
+
+def term_counts(text: str, terms: dict[str, int]) -> dict[int, int]:
+    """How often each term stands in a text, and under the number after the last all other words."""
+    get, own = terms.get, words(text)
+    out = Counter(k for x in own if (k := get(x)) is not None)
+    rest = len(own) - sum(out.values())
+    if rest:
+        out[len(terms)] = rest
+    return out
 
 
 def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms, counts of the index's terms in every text."""
+    """doc_id, terms, counts of the index's terms and of all other words in every text."""
     held = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held.value.get
         for b in batches:
-            found = [sorted(Counter(k for x in words(t) if (k := get(x)) is not None).items()) for t in b.column(1).to_pylist()]
+            found = [sorted(term_counts(t, held.value).items()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1))],
                 ["doc_id", "terms", "counts"],
@@ -188,11 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
         best = held.where("term <> ''").withColumn("z", F.expr(z)).where(f"z >= {LEAST_Z}")
         terms = [r["term"] for r in best.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
     counts = materialize(_term_counts(own, terms), "term-counts")
-    df = np.zeros(len(terms))
+    df = np.zeros(len(terms) + 1)
     for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
         df[r["t"]] = r["count"]
     total = counts.count()
-    idf = np.log((1 + total) / (1 + df)) + 1e-3
+    idf = np.log((1 + total) / (1 + df[: len(terms)])) + 1e-3
     fitted = counts.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).collect()  # bounded by ``examples``
     return Index(terms, idf, [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in fitted]), counts
 
@@ -200,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), evidence (ids of the nearest examples), terms; one row for each input row.
 
-    Null or empty text, and text without a term of the index, gets the rate of such examples and no
-    evidence. With no labels, or labels of one kind, every score is the smoothed rate of the labels. An empty table gives no rows.
+    Text without a term of the index gets no evidence; null text and text without words get the rate of such
+    examples. With no labels, or labels of one kind, every score is the smoothed rate of the labels. An empty table gives no rows.
     """
     index, counts = fit(docs, labels, examples, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(index)

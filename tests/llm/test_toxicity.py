@@ -53,18 +53,34 @@ def test_nearest_is_exact():
     terms = [f"t{k}" for k in range(40)]
     examples = []
     for i in range(700):
-        own = sorted(rng.sample(range(40), rng.randrange(0, 7)))
+        own = sorted(rng.sample(range(41), rng.randrange(0, 7)))
         examples.append((i, rng.randrange(2), own, [rng.randint(1, 5) for _ in own]))
     index = tox.Index(terms, np.linspace(0.5, 6, 40), examples)
-    full = {i: index.vector(t, c) for i, _, t, c in examples if t}
+    full = {i: index.vector(tuple(zip(t, c))) for i, _, t, c in examples if t}
     for _ in range(60):
-        own = sorted(rng.sample(range(40), rng.randrange(1, 6)))
-        t, w = index.vector(own, [rng.randint(1, 4) for _ in own])
+        own = sorted(rng.sample(range(41), rng.randrange(1, 6)))
+        t, w = index.vector(tuple((k, rng.randint(1, 4)) for k in own))
         q = dict(zip(t.tolist(), w.tolist()))
-        cos = sorted((-round(sum(q.get(a, 0) * b for a, b in zip(x.tolist(), v.tolist())), 10), i) for i, (x, v) in full.items())
-        wanted = [-c for c, _ in cos[:20] if c < 0]
-        got = index.nearest(t, w, 20)
-        assert np.allclose([s for s, _ in got], wanted)
+        cos = {i: round(sum(q.get(a, 0) * b for a, b in zip(x.tolist(), v.tolist())), 10) for i, (x, v) in full.items()}
+        wanted = sorted((c for c in cos.values() if c > 0), reverse=True)[:20]
+        near = index.nearest(t, w, 20)
+        got = [s for s, d in near for _ in index.ids[d]]
+        assert np.allclose(got[:20], wanted)
+        # the vote by brute force; of a tie at the end each label counts by its share
+        total, toxic, left = 1.0, index.rate, 20
+        for c in sorted(set(wanted), reverse=True):
+            tied = [y for (i, y, *_) in examples if round(cos.get(i, 0), 10) == c]
+            take = min(len(tied), left)
+            weight = take / (0.1 + max(0.0, 1 - c))
+            total, toxic, left = total + weight, toxic + weight * sum(tied) / len(tied), left - take
+        assert abs(index.vote(near) - toxic / total) < 0.05
+
+
+def test_long_clean_text_with_one_suspect_word(spark):
+    docs, labels = corpus()
+    docs += [(10_000, prose(77, 3000) + " " + BAD[0], "x"), (10_001, " ".join(BAD * 3), "x")]
+    rows = {r["doc_id"]: r["score"] for r in tox.score(*frames(spark, docs, labels)).collect()}
+    assert rows[10_001] > 0.9 and rows[10_000] < rows[10_001]
 
 
 def test_odd_rows_and_empty_tables(spark, odd, none):
