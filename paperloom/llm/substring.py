@@ -57,7 +57,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_
     """
     own = materialize(units(docs, least_words, id_col, text_col), "lines")
     first = own.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("copies"))
-    first = first.where("copies > 1")
+    first = materialize(first.where("copies > 1"), "first")  # written, so that the join deals its keys anew and can split them
     return (
         own.join(first, "digest")
         .where("not (doc_id <=> first.doc_id and unit = first.unit)")
