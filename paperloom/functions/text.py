@@ -381,7 +381,7 @@ def parse_numbered(c, n: Column) -> Column:
 
 def approx_bytes(c: Column) -> Column:
     """1024-based with three significant digits."""
-    step = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(c, F.lit(1)))), F.lit(4)).cast("int")
+    step = F.least(F.floor(F.log(1024.0, F.greatest(c, F.lit(1)))), F.lit(4)).cast("int")
     step = F.when(c >= F.pow(F.lit(1024.0), step + 1), F.least(step + 1, F.lit(4))).otherwise(step)
     v = c / F.pow(F.lit(1024.0), step)
     digits = F.when(v >= 100, 0).when(v >= 10, 1).otherwise(2)

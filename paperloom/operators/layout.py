@@ -459,7 +459,7 @@ def prelabel_units(labelled: DataFrame, elements: DataFrame, page_width: float)
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
     """Elements with their unit as edited (page, id, unitId, equationNumber): merges and splits alike name the new unit."""
     e = edits.select("page", "id", F.col("unitId").alias("nu"), F.col("equationNumber").alias("ne"), F.lit(True).alias("hit"))
-    return elements.join(e, ["page", "id"], "left").withColumn("unitId", F.when("hit", F.col("nu")).otherwise(F.col("unitId"))).withColumn(
+    return elements.join(e, ["page", "id"], "left").withColumn("unitId", F.when(F.col("hit"), F.col("nu")).otherwise(F.col("unitId"))).withColumn(
         "equationNumber", F.coalesce("ne", "equationNumber")
     ).drop("nu", "ne", "hit")
 

@@ -361,7 +361,7 @@ def reconcile(model: DataFrame, layer: DataFrame, mark: str, key: str = "page")
     pairs = align_blocks(model, layer, key)
     box = lambda df, side: df.select(key, F.lit(side).alias("side"), "id", "ord", F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"), "text")
     own = box(model, 0).unionByName(box(layer, 1)).join(pairs.select(key, F.col("tid").alias("id"), "mid", F.lit(1).alias("side")), [key, "side", "id"], "left")
-    number = re.compile(r"\d+(?:\.\d+)?")
+    number = re.compile(r"(?<![⟦f\d.])\d+(?:\.\d+)?")
     split = lambda s: [x for x in re.split(r"(?<=[.!?。！？])\s+", " ".join((s or "").split())) if x]
 
     def distance(a, b):
@@ -453,7 +453,8 @@ def anchor_blocks(notes: DataFrame, blocks: DataFrame) -> DataFrame:
     best = j.withColumn("how", how).where("how is not null").groupBy("id").agg(
         F.min(F.struct("how", F.abs(F.col("page") - F.col("at_page")).alias("far"), "at_page", "to")).alias("m")
     )
-    name = F.element_at(F.array(*map(F.lit, ["exact", "alias", "head", "quote"])), F.col("m.how") + 1)
+    name = F.element_at(F.array(*map(F.lit, ["exact", "alias", "head", "quote"])), F.coalesce(F.col("m.how"), F.lit(0)) + 1)
+    name = F.when(F.col("m").isNotNull(), name)
     return notes.join(best, "id", "left").select(*notes.columns, F.col("m.to").alias("anchored"), F.col("m.at_page").alias("anchored_page"), F.coalesce(name, F.lit("lost")).alias("status"))
 
 

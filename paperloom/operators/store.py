@@ -266,7 +266,7 @@ def set_deleted(notes: DataFrame, ids: DataFrame, at: int | None) -> DataFrame:
     """Soft delete (a time) or restore (None) of notes by id."""
     hit = notes.join(F.broadcast(ids.select("id").distinct().withColumn("__hit", F.lit(True))), "id", "left")
     when = F.lit(at).cast("long")
-    return hit.withColumn("deletedAt", F.when("__hit", when).otherwise(F.col("deletedAt"))).withColumn("rev", F.col("rev") + F.when(F.col("__hit"), 1).otherwise(0)).drop("__hit")
+    return hit.withColumn("deletedAt", F.when(F.col("__hit"), when).otherwise(F.col("deletedAt"))).withColumn("rev", F.col("rev") + F.when(F.col("__hit"), 1).otherwise(0)).drop("__hit")
 
 
 def purge(notes: DataFrame, ids: DataFrame) -> DataFrame:
