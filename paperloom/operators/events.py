@@ -23,15 +23,31 @@ def clean(events: DataFrame, secrets: list[str] = ()) -> DataFrame:
     ).where("type is not null and t is not null")
 
 
+#: Width of the time slices over which running sums are carried.
+SLICE_MS = 3_600_000
+
+
+def running_total(rows: DataFrame, at: str, value: str, tie: str | None = None, keys: list[str] = (), width: int = SLICE_MS) -> DataFrame:
+    """``__sum``: the sum of ``value`` from the newest row down to each row.
+
+    Sums of time slices are carried over first, so only one slice of a key is ever sorted in a task.
+    """
+    own = rows.withColumn("__slice", F.floor(F.col(at) / width))
+    sums = own.groupBy(*keys, "__slice").agg(F.sum(value).alias("__s"))
+    newer = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("__slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "__slice", F.coalesce(F.sum("__s").over(newer), F.lit(0)).alias("__carried"))
+    order = [F.col(at).desc()] + ([F.col(tie).desc()] if tie else [])
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return own.join(carried, [*keys, "__slice"]).withColumn("__sum", F.col("__carried") + F.sum(value).over(inside)).drop("__slice", "__carried")
+
+
 def retain(events: DataFrame, now: int, size: Column, key: str | None = None, days_ms: int = RETENTION_MS, cap: int = BYTES, tie: str | None = None) -> DataFrame:
     """Events of the last days and not of the future; the oldest go until the rest, as a JSON array, fits the cap.
 
-    One log is kept by size, so its running sum is one window; give ``key`` where a table holds many logs.
+    Give ``key`` where a table holds many logs.
     """
     fresh = events.where(F.col("t").between(now - days_ms, now + FUTURE_MS)).withColumn("__n", size + 1)
-    order = [F.col("t").desc()] + ([F.col(tie).desc()] if tie else [])
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return fresh.withColumn("__sum", F.sum("__n").over(w)).where(F.col("__sum") + 1 <= cap).drop("__n", "__sum")
+    return running_total(fresh, "t", "__n", tie, [key] if key else []).where(F.col("__sum") + 1 <= cap).drop("__n", "__sum")
 
 
 def evict(records: DataFrame, doc_limit: int = DOC_LIMIT, byte_limit: int = STORE_BYTES, doc: str = "docHash") -> DataFrame:
@@ -39,8 +55,7 @@ def evict(records: DataFrame, doc_limit: int = DOC_LIMIT, byte_limit: int = STOR
     newest = Window.partitionBy(doc).orderBy(F.col("decidedAt").desc(), F.col("key").desc())
     own = records.withColumn("__k", F.row_number().over(newest))
     kept = own.where(F.col("__k") <= doc_limit)
-    last = Window.partitionBy(F.lit(0)).orderBy(F.col("decidedAt").desc(), F.col("key").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    late = kept.withColumn("__sum", F.sum("bytes").over(last)).where(F.col("__sum") > byte_limit)
+    late = running_total(kept, "decidedAt", "bytes", "key").where(F.col("__sum") > byte_limit)
     return own.where(F.col("__k") > doc_limit).select("key", F.lit("document").alias("reason")).unionByName(late.select("key", F.lit("bytes").alias("reason")))
 
 

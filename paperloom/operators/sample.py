@@ -79,13 +79,15 @@ def allocated(rows: DataFrame, strata: Sequence[str], quota: int) -> DataFrame:
 def stratified(rows: DataFrame, strata: Sequence[str], quota: int, key: Sequence[str], seed: int = SEED, confidence: str | None = None) -> DataFrame:
     """A weighted sample without replacement in every stratum: the greatest u^(1/w), then the key.
 
-    Ranks are kept by a bounded top-k per stratum, as each stratum's rows are sorted once.
+    The greatest share is a constant, so Spark keeps only that many rows of a stratum before the shuffle.
     """
-    shares = F.broadcast(allocated(rows, strata, quota))
+    shares = allocated(rows, strata, quota)
+    most = shares.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
     w = weight(F.col(confidence)) if confidence else F.lit(1.0)
     draw = F.pow(uniform(seed, *(F.col(k) for k in key)), 1 / w)
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(F.col("__u").desc(), *key))
-    return rows.withColumn("__u", draw).join(shares, list(strata)).withColumn("__k", rank).where("__k <= quota").drop("__u", "__k", "quota")
+    top = rows.withColumn("__u", draw).withColumn("__k", rank).where(F.col("__k") <= most)
+    return top.join(F.broadcast(shares), list(strata)).where("__k <= quota").drop("__u", "__k", "quota")
 
 
 def replay(units: pd.DataFrame, target: int = TARGET, seed: int = SEED) -> pd.DataFrame:
@@ -119,6 +121,11 @@ def replay(units: pd.DataFrame, target: int = TARGET, seed: int = SEED) -> pd.Da
 def review_queue(units: DataFrame, outer: str = "field", inner: str = "paperId", order: Sequence[str] = ("confidence", "page", "unitId")) -> DataFrame:
     """Interleaved round the outer groups, inside them round the inner groups, inside those by confidence: a position for each row."""
     w1 = Window.partitionBy(outer, inner).orderBy(*order)
-    w2 = Window.partitionBy(outer).orderBy("__a", inner)
-    own = units.withColumn("__a", F.row_number().over(w1)).withColumn("__b", F.row_number().over(w2))
-    return own.withColumn("queue", F.struct("__b", F.col(outer))).drop("__a", "__b")
+    own = units.withColumn("__a", F.row_number().over(w1))
+    # a round holds one row of each inner group at most, so rounds are counted and only inside them rows are ranked
+    rounds = own.groupBy(outer, "__a").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(outer).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = rounds.select(outer, "__a", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(outer, "__a").orderBy(inner))
+    own = own.join(rounds, [outer, "__a"]).withColumn("__b", place.cast("int"))
+    return own.withColumn("queue", F.struct("__b", F.col(outer))).drop("__a", "__b", "__before")
