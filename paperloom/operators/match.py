@@ -63,14 +63,18 @@ def ngrams(c: Column, n: int = ANCHOR_WORDS) -> Column:
 
 
 def unique_anchors(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int = ANCHOR_WORDS) -> DataFrame:
-    """n-grams that stand once in a text of each side: (left_id, right_id, left_pos, right_pos); inputs have an id and words."""
+    """n-grams that stand once in a text of each side: (left_id, right_id, left_pos, right_pos); inputs have an id and words.
 
-    def once(df, key, name):
-        g = df.select(F.col(key), F.explode(ngrams(F.col("words"), n)).alias("g"))
-        own = g.groupBy(key, F.col("g.gram").alias("gram")).agg(F.count("*").alias("c"), F.min("g.pos").alias(name))
-        return own.where("c = 1").drop("c")
+    Give the smaller side as ``right``: n-grams of the left that it lacks go before any are counted.
+    """
+
+    def once(df, key, name, only=None):
+        g = df.select(F.col(key), F.explode(ngrams(F.col("words"), n)).alias("g")).select(key, "g.*")
+        g = g if only is None else g.join(only, "gram", "left_semi")
+        return g.groupBy(key, "gram").agg(F.count("*").alias("c"), F.min("pos").alias(name)).where("c = 1").drop("c")
 
-    return once(left, left_id, "left_pos").join(once(right, right_id, "right_pos"), "gram").select(left_id, right_id, "left_pos", "right_pos")
+    r = once(right, right_id, "right_pos")
+    return once(left, left_id, "left_pos", r.select("gram")).join(r, "gram").select(left_id, right_id, "left_pos", "right_pos")
 
 
 def monotone(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,11 +237,13 @@ def unit_accuracy(truth: DataFrame, predicted: DataFrame, key: str = "doc") -> D
     scored = hits.groupBy(key, "tid", "pid", "nt", "np").agg(F.count("*").alias("c")).withColumn("s", F.col("c") / (F.col("nt") + F.col("np") - F.col("c")))
     total = t.groupBy(key).agg(F.count("*").alias("total"))
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = greedy_pairs(list(zip(pdf.s, pdf.tid, pdf.pid)))
-        return pd.DataFrame([(k[0], sum(s == 1 for s, *_ in got), sum(s for s, *_ in got))], columns=[key, "correct", "jaccardSum"])
+    def run(batches):
+        for pdf in batches:
+            got = [greedy_pairs([(p["s"], p["tid"], p["pid"]) for p in pairs]) for pairs in pdf.pairs]
+            yield pd.DataFrame({key: pdf[key], "correct": [sum(s == 1 for s, *_ in g) for g in got], "jaccardSum": [float(sum(s for s, *_ in g)) for g in got]})
 
-    found = scored.groupBy(key).applyInPandas(run, f"{key} {t.schema[key].dataType.simpleString()}, correct long, jaccardSum double")
+    pairs = scored.groupBy(key).agg(F.collect_list(F.struct("s", "tid", "pid")).alias("pairs"))  # many keys a batch, one list a key
+    found = pairs.mapInPandas(run, f"{key} {t.schema[key].dataType.simpleString()}, correct long, jaccardSum double")
     out = total.join(found, key, "left").fillna(0, ["correct", "jaccardSum"])
     return out.select(key, "correct", "total", (F.col("correct") / F.col("total")).alias("accuracy"), (F.col("jaccardSum") / F.col("total")).alias("meanJaccard"))
 

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read, spread
+
+#: Tables whose rows hold long texts.
+TEXTS = ("documents", "pages")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -21,7 +26,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read(spark, sf_dir, name)
+    return spread(df) if name in TEXTS else df
 
 
 from . import document_queries, event_queries, layout_queries, match_queries, store_queries  # noqa: E402, F401
