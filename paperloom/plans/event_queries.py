@@ -11,13 +11,13 @@ from .registry import query, table
 #: "Now" of the retention queries, epoch milliseconds of 2024-01-20.
 NOW = 1705708800000
 #: The table's times bear no zone; they are read as UTC whatever the session's zone.
-MILLIS = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+MILLIS = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 _SIZE = "octet_length(encode(event_type || '|' || coalesce(props, '')))"
 
 
 def _log(spark, sf_dir):
     own = table(spark, sf_dir, "events")
-    return own.withColumn("t", MILLIS).withColumn("size", F.octet_length(F.concat_ws("|", "event_type", F.coalesce("props", F.lit("")))))
+    return own.withColumn("t", F.expr(MILLIS)).withColumn("size", F.octet_length(F.concat_ws("|", "event_type", F.coalesce("props", F.lit("")))))
 
 
 @query(
@@ -211,7 +211,7 @@ def srs_fold(spark, sf_dir):
 def commit_guards(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("key"), "event_type", F.col("event_id").alias("seq"), F.col("event_type").alias("value"), (F.col("event_id") % 3 > 0).alias("verified"),
-        (F.col("event_id") % 7).alias("epoch"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("writer"), F.col("event_id").alias("serial"), MILLIS.alias("at"),
+        (F.col("event_id") % 7).alias("epoch"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("writer"), F.col("event_id").alias("serial"), F.expr(MILLIS).alias("at"),
     ).drop("event_type")
     return events.fold_commits(own)
 
