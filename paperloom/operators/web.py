@@ -121,11 +121,13 @@ def site_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     The page's host and parent domains are exploded, so the join is an equality.
     """
     r = rules.select(F.regexp_replace(F.trim("host"), r"^www\.", "").alias("__suffix"), F.struct("ord", "host").alias("rule")).where("__suffix <> ''")
+    # the row number is made once and carried along: made again for a second branch it could differ
     own = pages.withColumn("__host", host(url)).withColumn("__row", F.monotonically_increasing_id())
     labels = F.split("__host", r"\.")
-    each = own.select("__row", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("__suffix"))
-    hit = each.join(r, "__suffix").groupBy("__row").agg(F.min("rule").alias("rule"))
-    return own.join(hit, "__row", "left").drop("__row")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    each = own.withColumn("__suffix", F.explode(suffixes)).join(r, "__suffix", "left")
+    kept = [F.first(c).alias(c) for c in (*pages.columns, "__host")]
+    return each.groupBy("__row").agg(*kept, F.min("rule").alias("rule")).drop("__row")
 
 
 def class_is_chrome(c) -> Column:
