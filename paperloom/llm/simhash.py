@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
 from .components import connected_components
+from .shingles import WORDS, near_copies
 
 SEED = 42
 #: First bit and width of the three segments of a fingerprint.
@@ -206,8 +207,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return own.join(placed, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, whole and with all columns."""
-    found = near_duplicates(docs, size, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+def keep_one(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, whole and with all columns.
+
+    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more. Such pairs
+    differ in some ten of 64 bits, which the keys of ``links`` cannot reach, so candidates come from banded minima.
+    """
+    rows, nodes, edges = near_copies(docs, size, id_col, text_col)
+    placed = nodes.join(connected_components(edges), "node", "left").select("set", F.coalesce("component", "node").alias("kept"))
+    gone = rows.join(placed, "set").where("doc_id <> kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

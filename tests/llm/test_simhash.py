@@ -6,7 +6,7 @@ import pytest
 from paperloom.llm import simhash
 from paperloom.llm.components import connected_components
 
-from .conftest import ODD
+from .conftest import ODD, prose
 
 
 def plain(text, size=3):
@@ -112,3 +112,22 @@ def test_connected_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {x: c for x, c in components(e for e in edges if e[0] != e[1]).items() if x != c}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_keep_one_links_by_five_word_similarity(spark):
+    rng = random.Random(7)
+    texts = []
+    for k in range(25):
+        words = prose(500 + k, 120).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 5, 8):
+            own = list(words)
+            for c in rng.sample(range(len(own)), edits):
+                own[c] = f"edited{c}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any((plain(texts[i]) ^ plain(texts[j])).bit_count() > 8 for i, j in near)
+    top = components(near)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if top.get(i, i) == i}
