@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -83,6 +84,13 @@ class Windows(dict):
             self.total.append(len(at))
             found += [(int(x), k, int(p)) for x, p in zip(h, at)]
         found.sort()
+        self.short, self.short_ids = [], {}
+        for k, tokens in enumerate(self.tokens):
+            if tokens and not self.total[k]:
+                first = self.words[k][0]  # a copy may begin inside a sentence
+                forms = {self.number.setdefault(canonical(first, x), len(self.number) + 1) for x in (False, True)}
+                self.short.append((k, forms))
+                self.short_ids[k] = np.array([self.number[t] for t in tokens], np.int64)
         self.hash = np.array([f[0] for f in found], np.uint64)
         self.item = np.array([f[1] for f in found], np.int64)
         self.place = np.array([f[2] for f in found], np.int64)
@@ -120,6 +128,8 @@ class Windows(dict):
             packed[s : s + len(w)] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
         begins = np.r_[True, packed[:-1] >> 48 > 0]
         ids = np.where(begins, packed >> 24, packed) & 0xFFFFFF
+        if self.short:
+            yield from self.whole(ids, starts, words)
         at, h = self.hashes(ids)
         low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         hit = np.flatnonzero(high > low)
@@ -134,11 +144,27 @@ class Windows(dict):
             if len({q for _, q in pairs}) >= least * self.total[item] and (best := self.occurrence(words[r], item, pairs, least)):
                 yield r, self.ids[item], *best
 
+    def values(self, words: list[str], item: int, pairs: list[tuple[int, int]]) -> dict[str, str] | None:
+        """The text's value for each value of the item; None if one stands for several."""
+        out: dict[str, str] = {}
+        for p, q in pairs:
+            for k in range(WINDOW):
+                if self.slot(item, q + k):
+                    own = bare(words[p + k])
+                    if out.setdefault(bare(self.words[item][q + k]), own) != own:
+                        return None
+        return out
+
+    def slot(self, item: int, q: int) -> bool:
+        token = self.tokens[item][q]
+        return token[0] == "<" and self.number[token] <= 4
+
     def occurrence(self, words: list[str], item: int, pairs: list[tuple[int, int]], least: float) -> tuple[float, str] | None:
         """The best place in a text: share of the item's windows, and whether slots hold the same or other values.
 
         Hits further apart than twice the item's length are separate occurrences. One counts only if
-        its slots are consistent: each value of the item stands for a single value of the text.
+        its slots are consistent: each value of the item stands for a single value of the text. Hits that are
+        not consistent together are judged by alignment: see ``aligned``.
         """
         span, groups = 2 * len(self.tokens[item]), []
         for p in sorted(pairs):
@@ -148,19 +174,68 @@ class Windows(dict):
                 groups.append([p])
         best = None
         for group in groups:
-            share = len({q for _, q in group}) / self.total[item]
-            if share < least:
+            if len({q for _, q in group}) < least * self.total[item]:
                 continue
-            values: dict[str, set[str]] = defaultdict(set)
-            for p, q in group:
-                for k in range(WINDOW):
-                    if self.tokens[item][q + k][0] == "<" and self.number[self.tokens[item][q + k]] <= 4:
-                        values[bare(self.words[item][q + k])].add(bare(words[p + k]))
-            if all(len(v) == 1 for v in values.values()):
-                kind = "verbatim" if all(v == {x} for x, v in values.items()) else "reparameterised"
-                best = max(best or (0.0, ""), (share, kind))
+            whole = self.values(words, item, group)
+            found = [(group, whole)] if whole is not None else self.aligned(words, item, group)
+            for hits, values in found:
+                share = len({q for _, q in hits}) / self.total[item]
+                if share >= least:
+                    kind = "verbatim" if all(v == x for x, v in values.items()) else "reparameterised"
+                    best = max(best or (0.0, ""), (share, kind))
         return best
 
+    def aligned(self, words: list[str], item: int, group: list[tuple[int, int]]) -> Iterator[tuple[list, dict[str, str]]]:
+        """Consistent hits and their values for every diagonal (place in the text less place in the item).
+
+        A diagonal whose own hits are inconsistent is no occurrence. To each other one, the windows that
+        it lacks are added from the nearest diagonals, no further off than the item is long, where all keep
+        to its values: edits shift the rest of an item.
+        """
+        by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, q in group:
+            by[p - q].append((p, q))
+        held = {d: v for d, hits in by.items() if (v := self.values(words, item, hits)) is not None}
+        order, length = sorted(held), len(self.tokens[item])
+        for d in order:
+            hits, values, seen = list(by[d]), dict(held[d]), {q for _, q in by[d]}
+            near = order[bisect_left(order, d - length) : bisect_right(order, d + length)]
+            for other in sorted(near, key=lambda x: abs(x - d)):
+                more = [h for h in by[other] if h[1] not in seen]
+                own = self.values(words, item, more) if more else None
+                if own and any(values.get(x, v) != v for x, v in own.items()) or own is None:
+                    continue
+                hits += more
+                seen.update(q for _, q in more)
+                values |= own
+            yield hits, values
+
+    def whole(self, ids: np.ndarray, starts: np.ndarray, words: list[list[str]]) -> Iterator[tuple[int, int, float, str]]:
+        """(row, item, 1, kind) of texts that hold the whole template of an item without windows.
+
+        Below three plain words, only the same values count.
+        """
+        for item, forms in self.short:
+            n, found = len(self.tokens[item]), {}
+            if n > len(ids):
+                continue
+            plain = sum(not self.slot(item, k) for k in range(n))
+            for at in np.flatnonzero(np.isin(ids[: len(ids) - n + 1], list(forms))):
+                if n > 1 and (ids[at + 1 : at + n] != self.short_ids[item][1:]).any():
+                    continue
+                r = int(np.searchsorted(starts, at, "right")) - 1
+                text, values, good = words[r][at - starts[r] : at - starts[r] + n], {}, True
+                for k, own in enumerate(map(bare, text)):
+                    name = bare(self.words[item][k])
+                    if self.slot(item, k):
+                        good &= values.setdefault(name, own) == own
+                    elif k == 0:
+                        good &= own.lower() == name.lower()
+                same = all(x == v for x, v in values.items())
+                if good and (same or plain >= PLAIN_WORDS):
+                    found[r] = max(found.get(r, ""), "verbatim" if same else "reparameterised")
+            yield from ((r, self.ids[item], 1.0, kind) for r, kind in found.items())
+
 
 def parts(benchmark: DataFrame, part_chars: int, id_col: str = "item_id", text_col: str = "text") -> list[Windows]:
     """The benchmark in parts of about ``part_chars`` characters each, read one after another."""
@@ -185,9 +260,10 @@ def matches(
     Texts become templates: numbers, units and names (capitals inside a sentence) are placeholders,
     other words lower case without edge punctuation. Windows of five tokens, three of them plain
     words at least, are joined by hash. An item is found where one place in the document holds at least ``least`` of
-    its windows and the slots are consistent; ``kind`` tells ``verbatim`` from ``reparameterised``.
+    its windows, aligned where hits disagree, and the slots are consistent; an item without such a window is found
+    by its whole template. ``kind`` tells ``verbatim`` from ``reparameterised``.
 
-    Null and empty texts, and items with no such window, match nothing; every input row is judged by itself, so repeated
+    Null and empty texts match nothing; every input row is judged by itself, so repeated
     rows give repeated matches; equal items all match. Empty tables give no rows. The windows are
     broadcast in parts of bounded size; documents are never shuffled.
     """

@@ -80,3 +80,24 @@ def test_clean_keeps_whole_rows(spark, odd):
     kept = dec.clean(odd, bench)
     assert kept.dtypes == odd.dtypes
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in (6, 7))
+
+
+def test_occurrences_side_by_side_and_repeated_windows():
+    w = dec.Windows([(1, ITEM)])
+    third = ITEM.replace("5 hours", "8 hours").replace("120", "240")
+    for text in (f"{OTHER} {third}", f"{third} {OTHER}"):
+        assert [m[3] for m in w.matches([text], 0.8)] == ["reparameterised"]
+    edited = ITEM.replace("before it stops", "before it finally stops")
+    for text in (f"{ITEM} {OTHER}", f"{OTHER} {ITEM}", f"{third} {edited} {OTHER}"):
+        assert [m[3] for m in w.matches([text], 0.8)] == ["verbatim"]
+    item = "she put 3 red apples in her bag and then 5 red apples in her bag and then 7 red apples in her bag"
+    w = dec.Windows([(1, item)])
+    assert [m[3] for m in w.matches([prose(1, 20) + " " + item], 0.8)] == ["verbatim"]
+    assert [m[3] for m in w.matches([item.replace("5", "6")], 0.8)] == ["reparameterised"]
+
+
+def test_items_without_windows():
+    w = dec.Windows([(1, "Add 2 and 2"), (2, "How many are 7?"), (3, "12 34 56 78 90 11")])
+    texts = ["he asked: Add 2 and 2 twice", "so Add 2 and 2!", "Add 3 and 3", "how many are 9?", "x 12 34 56 78 90 11 y", "1 2 3 4 5 6", None or ""]
+    got = {(r, i, k) for r, i, _, k in w.matches(texts, 0.8)}
+    assert got == {(0, 1, "verbatim"), (1, 1, "verbatim"), (3, 2, "reparameterised"), (4, 3, "verbatim")}
