@@ -182,3 +182,14 @@ def test_queue_interleaves(spark):
     df = spark.createDataFrame([("f1", "p1", 1, "a", 0.1), ("f1", "p1", 1, "b", 0.2), ("f1", "p2", 1, "c", 0.3), ("f2", "p3", 1, "d", 0.9)], "field string, paperId string, page int, unitId string, confidence double")
     got = [r["unitId"] for r in sample.review_queue(df).orderBy("queue").collect()]
     assert got == ["a", "d", "c", "b"]
+
+
+def test_unit_accuracy_covers_every_line(spark):
+    import __spark_entry__ as entry
+
+    sf, query = "/root/testdata/sf0.001", entry.queries()["greedy_unit_accuracy"]
+    from paperloom.plans.document_queries import blocks
+
+    got = {r["doc"]: r["total"] for r in query(spark, sf).collect()}
+    wanted = {r["doc_id"]: r["count"] for r in blocks(spark, sf).groupBy("doc_id").count().collect()}
+    assert got == wanted and max(got.values()) > 6
