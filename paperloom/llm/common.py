@@ -47,8 +47,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.spread(df) if name == "documents" else df
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session leaves Spark's own bound: rows may hold whole documents.
+BATCH_BYTES, SPARK_BYTES = "8m", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the bytes of an Arrow batch, unless the session names a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, SPARK_BYTES) == SPARK_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null text as empty; other columns cannot clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -64,7 +64,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeats(table(spark, sf_dir, "documents"))
+    return substring.passages(table(spark, sf_dir, "documents")).drop("row")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_out, id_and_text, materialize
+from .common import bound_batches, hold_out, id_and_text
 
 #: Labelled rows that the index is fitted on at most: those of the smallest hash of their id.
 EXAMPLES = 6000
-#: Terms of the index at most, and what a term must show: positive examples that hold it, and standard errors by which
-#: it is commoner among them.
-TERMS, LEAST_DOCS, LEAST_Z = 4096, 5, 6.0
 NEIGHBOURS = 20
 BLOCK = 64
+#: Blocks that are scored before bounds are first held against the k-th cosine; each further round scores twice as many.
+FIRST_BLOCKS = 24
 #: Weight of the overall rate among a vote's neighbours.
 PRIOR_WEIGHT = 1.0
-#: Weight of all words outside the index's terms, as one term.
-OTHER_WEIGHT = 1.5
+#: A term's idf is multiplied by this and by how many standard errors it is commoner in toxic examples, where it is;
+#: the errors are those of so many holders more at the overall rate.
+LEAST_RELEVANCE, SHRINK = 0.1, 10.0
 #: Least score of a rejected document.
 REJECT = 0.3
 _WORD = re.compile(r"\w+")
@@ -35,73 +36,110 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start up to each end, one range after another, and the range of each."""
+    size = end - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(start - np.cumsum(size) + size, size), of
+
+
+def relevance(toxic: np.ndarray, held: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """Factors of the idf by the number of toxic examples and of all examples that hold each term."""
+    p = n_toxic / n if n else 0.0
+    if not 0 < p < 1:
+        return np.full(len(held), 1.0)
+    return LEAST_RELEVANCE + np.maximum(0.0, (toxic - p * held) / np.sqrt((held + SHRINK) * p * (1 - p)))
+
+
 class Index:
-    """Examples as unit TF-IDF vectors in an inverted index with the greatest weight of each block of examples.
+    """Examples as unit vectors over all their terms, in an inverted index with the greatest weight in each block.
 
-    All words outside the index's terms count as one more term of fixed weight, so a single suspect word in a long text
-    stays near clean examples. Examples of equal vectors are one entry with a count of each label.
+    A term weighs (1 + ln count) * idf * relevance. A word that stands in no example counts in a
+    text's length as a term of one document. Examples of equal counts are one entry with a count of each label.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]):
+    def __init__(self, terms: list[str], df: np.ndarray, total: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         self.terms = {t: k for k, t in enumerate(terms)}
         self.names = terms
-        self.idf = np.append(idf, OTHER_WEIGHT)
-        own: dict[tuple, list[tuple[int, int]]] = {}
-        for i, y, t, c in sorted(examples):
-            own.setdefault(self.key(dict(zip(t, c))), []).append((i, y))
-        labels = [y for members in own.values() for _, y in members]
+        own: dict[bytes, list] = {}
+        for i, y, t, c in sorted(examples, key=lambda e: e[0]):
+            key = np.asarray(t, np.int64).tobytes() + np.asarray(c, np.int64).tobytes()
+            own.setdefault(key, [np.asarray(t, np.int64), np.asarray(c, float), []])[2].append((i, y))
+        labels = [y for _, _, members in own.values() for _, y in members]
         self.rate = (sum(labels) + 1) / (len(labels) + 2)
-        empty = [y for _, y in own.pop((), [])]
-        self.empty_score = (sum(empty) + self.rate) / (len(empty) + 1)
-        self.ids = [[i for i, _ in m] for m in own.values()]
-        self.size = [len(m) for m in own.values()]
-        self.toxic = [sum(y for _, y in m) for m in own.values()]
-        vectors = [self.vector(k) for k in own]
-        self.blocks = -(-len(own) // BLOCK)
-        rows: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for d, (t, w) in enumerate(vectors):
-            for k, v in zip(t.tolist(), w.tolist()):
-                rows[k].append((d, v))
-        self.docs = [np.array([d for d, _ in r], np.int64) for r in rows]
-        self.weights = [np.array([v for _, v in r], float) for r in rows]
-        self.bound = np.zeros((len(self.idf), max(1, self.blocks)))
-        for k, (d, v) in enumerate(zip(self.docs, self.weights)):
-            np.maximum.at(self.bound[k], d // BLOCK, v)
-        self.votes: dict[tuple, tuple[float, list[int]]] = {}
+        held, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+        for t, _, members in own.values():
+            held[t] += len(members)
+            toxic[t] += sum(y for _, y in members)
+        idf = np.log((1 + total) / (1 + np.append(np.asarray(df, float)[: len(terms)], 0))) + 1e-3
+        self.weight = idf * np.append(relevance(toxic, held, sum(labels), len(labels)), LEAST_RELEVANCE)
+        none = [y for t, _, members in own.values() if not len(t) for _, y in members]
+        self.empty_score = (sum(none) + self.rate) / (len(none) + 1)
+        entries = [(self.unit(t, c, 0), members) for t, c, members in own.values() if len(t)]
+        # examples of like labels and like heaviest terms share blocks, so that bounds tell them apart
+        entries.sort(key=lambda e: (-sum(y for _, y in e[1]) / len(e[1]), int(e[0][0][np.argmax(e[0][1])]), e[1]))
+        self.ids = [[i for i, _ in m] for _, m in entries]
+        self.size = [len(m) for _, m in entries]
+        self.toxic = [sum(y for _, y in m) for _, m in entries]
+        vectors = [v for v, _ in entries]
+        self.blocks = max(1, -(-len(entries) // BLOCK))
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((doc, term))
+        term, self.doc = term[order], doc[order].astype(np.int32)
+        self.value = np.concatenate([w for _, w in vectors] or [np.zeros(0)])[order]
+        block = self.doc // BLOCK
+        begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        # a run is the postings of a term in a block
+        self.run_start = np.r_[begins, len(term)]
+        self.run_block = block[begins]
+        self.run_max = np.maximum.reduceat(self.value, begins) if len(begins) else np.zeros(0)
+        self.term_runs = np.searchsorted(term[begins], np.arange(len(terms) + 1))
         self.steps: tuple[list[float], list[float]] = ([], [])
         self.calibrate(vectors)
 
-    def key(self, counts: dict[int, int]) -> tuple:
-        """Equal for texts of equal vectors."""
-        return tuple(sorted(counts.items())) if len(counts) > 1 else tuple((k, 1) for k in counts)
+    def unit(self, t: np.ndarray, c: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of terms and their counts; ``unknown`` is the sum of squares of (1 + ln count) of other words."""
+        w = (1 + np.log(c)) * self.weight[t]
+        norm = np.sqrt(w @ w + unknown * self.weight[-1] ** 2)
+        return t, w / norm if norm > 0 else w
 
-    def vector(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([k for k, _ in key], np.int64)
-        w = (1 + np.log(np.array([c for _, c in key], float))) * self.idf[t] if len(t) else np.zeros(0)
-        norm = math.sqrt(float(w @ w))
-        return (t, w / norm) if norm > 0 else (t[:0], w[:0])
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, float, bool]:
+        """Terms of a text, their counts, the squares of other words, and whether it has words."""
+        found = Counter(words(text))
+        t = np.fromiter(map(self.terms.get, found, repeat(-1)), np.int64, len(found))
+        c = np.fromiter(found.values(), float, len(found))
+        known = t >= 0
+        return t[known], c[known], float(((1 + np.log(c[~known])) ** 2).sum()), bool(found)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """Entries of the greatest cosine (positive; ties by their order) until they hold k examples, found exactly.
+        """The ``k`` entries of the greatest cosine (positive; ties by their order), found exactly.
 
-        Blocks are scored in falling order of their bound, until no bound exceeds the k-th cosine.
+        Blocks are scored in falling order of their bounds, a few at a time, until no bound exceeds the k-th cosine.
         """
-        bound = w @ self.bound[t]
+        run, of = ranges(self.term_runs[t], self.term_runs[t + 1])
+        bound = np.bincount(self.run_block[run], self.run_max[run] * w[of], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for x, v in zip(t, w):
-                lo, hi = np.searchsorted(self.docs[x], (b * BLOCK, (b + 1) * BLOCK))
-                score[self.docs[x][lo:hi] - b * BLOCK] += v * self.weights[x][lo:hi]
-            for d in np.flatnonzero(score > 0):
-                entry = (round(float(score[d]), 12), -(int(b) * BLOCK + int(d)))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, -d) for s, d in sorted(best, reverse=True)]
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            part = order[at : at + step]
+            if len(best) == k:
+                part = part[bound[part] >= best[0][0] - 1e-9]
+                if not len(part):
+                    break
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            on = chosen[self.run_block[run]]
+            post, of_run = ranges(self.run_start[run[on]], self.run_start[run[on] + 1])
+            score = np.round(np.bincount(self.doc[post], self.value[post] * w[of[on]][of_run], len(self.ids)), 12)
+            hits = np.flatnonzero(score > max(0.0, best[0][0] - 1e-9 if len(best) == k else 0.0))
+            if len(hits) > k:
+                hits = hits[np.lexsort((hits, -score[hits]))[:k]]
+            best = heapq.nlargest(k, best + [(float(score[d]), -int(d)) for d in hits])[::-1]
+            at, step = at + step, 2 * step
+        return [(s, -d) for s, d in reversed(best)]
 
     def vote(self, near: list[tuple[float, int]], without: int = -1, label: int = 0) -> float:
         """Labels of the nearest examples weighted by the inverse of their distance, with the overall rate as one
@@ -135,126 +173,113 @@ class Index:
         rates = [(p[2] + self.rate) / (p[3] + 1) for p in pools]
         self.steps = ([v for p in pools for v in p[:2]], [r for r in rates for _ in range(2)])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        """Score; where the text holds terms of the index also the nearest examples and the terms."""
-        key = self.key(counts)
-        if key not in self.votes:
-            if len(self.votes) > 50_000:
-                self.votes.clear()
-            t, w = self.vector(key)
-            near = self.nearest(t, w, NEIGHBOURS) if len(t) else []
-            v = self.vote(near)
-            out = self.empty_score if not len(t) else float(np.interp(v, *self.steps)) if self.steps[1] else v
-            self.votes[key] = (out, [i for _, d in near for i in self.ids[d][:3]][:3])
-        terms = [self.names[x] for x, _ in key if x < len(self.names)]
-        out, near = self.votes[key]
-        return out, near if terms else [], terms
-
-    def __getstate__(self):
-        return self.__dict__ | {"votes": {}}
-
-    def counts(self, text: str) -> dict[int, int]:
-        return term_counts(text, self.terms)
-
-
-def term_counts(text: str, terms: dict[str, int]) -> dict[int, int]:
-    """How often each term stands in a text, and under the number after the last all other words."""
-    get, own = terms.get, words(text)
-    out = Counter(k for x in own if (k := get(x)) is not None)
-    rest = len(own) - sum(out.values())
-    if rest:
-        out[len(terms)] = rest
-    return out
-
-
-def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms, counts of the index's terms and of all other words in every text."""
-    held = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    def score(self, text: str) -> tuple[float, list[int], list[str]]:
+        """Score, ids of the nearest examples, and the terms that weigh most in the text's own vector."""
+        t, c, unknown, any_words = self.counts(text)
+        if not any_words:
+            return self.empty_score, [], []
+        t, w = self.unit(t, c, unknown)
+        near = self.nearest(t, w, NEIGHBOURS)
+        v = self.vote(near)
+        score = float(np.interp(v, *self.steps)) if self.steps[1] else v
+        top = t[np.lexsort((t, -w))[:5]] if near else []
+        return score, [i for _, d in near for i in self.ids[d][:3]][:3], [self.names[x] for x in top]
+
+
+def _chosen(labels: DataFrame, examples: int, id_col: str) -> DataFrame:
+    """own_id, toxic of at most ``examples`` labelled ids that are not held out."""
+    known = labels.select(F.col(id_col).cast("long").alias("own_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where("own_id is not null and toxic in (0, 1)").where(~hold_out("own_id", 4, 2))
+    chosen = known.groupBy("own_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("own_id"), "own_id").limit(examples)
+    return labels.sparkSession.createDataFrame(chosen.collect(), "own_id long, toxic int")  # bounded by ``examples``
+
+
+def _examples(own: DataFrame, chosen: DataFrame) -> list:
+    """(own_id, toxic, terms, counts) of the chosen documents, read one partition after another; of several rows of one id
+    that of the smallest digest, so there are no more than chosen ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(term_counts(t, held.value).items()) for t in b.column(1).to_pylist()]
+            found = [sorted(Counter(words(t)).items()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1))],
-                ["doc_id", "terms", "counts"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+                [b.column(0), b.column(1), pa.array([hashlib.md5(t.encode("utf-8", "replace")).digest() for t in b.column(2).to_pylist()], pa.binary()),
+                 pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))],
+                ["own_id", "toxic", "digest", "terms", "counts"],
+            )
 
+    sample = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).select("own_id", "toxic", "text")
+    counted = sample.mapInArrow(run, "own_id long, toxic int, digest binary, terms array<string>, counts array<long>")
+    one = counted.groupBy("own_id").agg(F.min(F.struct("digest", "toxic", "terms", "counts")).alias("e"))
+    return [(r["own_id"], r["e"]["toxic"], r["e"]["terms"], r["e"]["counts"]) for r in one.toLocalIterator()]
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> tuple[Index, DataFrame]:
-    """The index, and the term counts of every document (doc_id, terms, counts) that its statistics come from.
 
-    Examples are at most ``examples`` labelled rows that are not held out, of the smallest hash of
-    their id; of several labels of one id the greatest holds. Terms are the words significantly
-    commoner in toxic examples. Document frequencies are counted over all documents.
-    """
-    spark = docs.sparkSession
-    own = id_and_text(docs, id_col, text_col)
-    known = labels.select(F.col(id_col).cast("long").alias("own_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where("own_id is not null and toxic in (0, 1)").where(~hold_out("own_id", 4, 2))
-    chosen = known.groupBy("own_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("own_id"), "own_id").limit(examples)
-    chosen = spark.createDataFrame(chosen.collect(), "own_id long, toxic int")  # bounded by ``examples``
+def _frequencies(own: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the examples stands, and how many documents there are."""
+    held = own.sparkSession.sparkContext.broadcast(terms)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, n = held.value.get, len(held.value)
+        found = np.zeros(n + 1, np.int64)
         for b in batches:
-            tox = b.column(1).to_pylist()
-            rows = [(y, w) for y, t in zip(tox, b.column(0).to_pylist()) for w in {""} | set(words(t))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["toxic", "term"]
-            )
-
-    sample = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).select("text", "toxic")
-    held = sample.mapInArrow(distinct, "toxic int, term string").groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("n")
-    )
-    held = materialize(held.where(f"term = '' or a >= {LEAST_DOCS}"), "terms")
-    whole = held.where("term = ''").first()
-    pos, n = (whole["a"], whole["n"]) if whole else (0.0, 0.0)
-    terms: list[str] = []
-    if 0 < pos < n:
-        z = f"(a / {pos} - (n - a) / {n - pos}) / sqrt(n / {n} * (1 - n / {n}) * {1 / pos + 1 / (n - pos)} + 1e-12)"
-        best = held.where("term <> ''").withColumn("z", F.expr(z)).where(f"z >= {LEAST_Z}")
-        terms = [r["term"] for r in best.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
-    counts = materialize(_term_counts(own, terms), "term-counts")
-    df = np.zeros(len(terms) + 1)
-    for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        df[r["t"]] = r["count"]
-    total = counts.count()
-    idf = np.log((1 + total) / (1 + df[: len(terms)])) + 1e-3
-    fitted = counts.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).collect()  # bounded by ``examples``
-    return Index(terms, idf, [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in fitted]), counts
+            for t in b.column(0).to_pylist():
+                at = [k for x in set(words(t)) if (k := get(x)) is not None]
+                found[at] += 1
+                found[n] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
+
+    counted = own.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)  # at most the examples' terms
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    held.unpersist()
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index over every term of at most ``examples`` labelled documents that are not held out: those of the smallest
+    hash of their id; of several labels of one id the greatest holds. Document frequencies are counted over all documents."""
+    own = id_and_text(docs, id_col, text_col)
+    found = _examples(own, _chosen(labels, examples, id_col))
+    names = sorted({x for _, _, t, _ in found for x in t})
+    number = {x: k for k, x in enumerate(names)}
+    df, total = _frequencies(own, number)
+    return Index(names, df, total, [(i, y, np.array([number[x] for x in t], np.int64), np.array(c, np.int64)) for i, y, t, c in found])
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), evidence (ids of the nearest examples), terms; one row for each input row.
+    """doc_id, score (0 to 1), evidence (ids of the nearest examples), terms (the weightiest); one row for each input row.
 
-    Text without a term of the index gets no evidence; null text and text without words get the rate of such
-    examples. With no labels, or labels of one kind, every score is the smoothed rate of the labels. An empty table gives no rows.
+    Null text and text without words get the rate of such examples and no evidence; a text that shares no term with an
+    example the rate of all. With no labels, or labels of one kind, scores are smoothed rates of the labels.
+    Repeated rows score alike; an empty table gives no rows; other columns are not read. No text is shuffled but for the
+    examples' counts.
     """
-    index, counts = fit(docs, labels, examples, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.score(dict(zip(t, c))) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [held.value.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f[0] for f in found], pa.float64()),
                  pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))],
                 ["doc_id", "score", "evidence", "terms"],
             )
 
-    return counts.mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>")
 
 
 def keep(docs: DataFrame, labels: DataFrame, reject: float = REJECT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``reject``, with all columns and without a shuffle of texts."""
-    index, _ = fit(docs, labels, text_col=text_col)
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows of ``docs`` that score below ``reject``, with all columns and without a shuffle of texts.
+
+    Null and empty texts score as in ``score`` and equal rows share one fate; an empty table gives none, and without labels
+    all score one half, so a table without labels must be caught by the caller's choice of ``reject``.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
-            yield b.filter(pa.array([own.score(own.counts(t or ""))[0] < reject for t in b.column(text_col).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([own.score(t or "")[0] < reject for t in b.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
