@@ -60,10 +60,18 @@ def test_odd_rows(spark):
     assert got(spark, []) == {}
 
 
+def test_rows_of_one_id_and_null_ids(spark):
+    one, near, far = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [3.0, -2.0, 1.0]
+    rows = [(1, one, 0), (1, one, 0), (1, far, 0), (2, near, 0), (None, one, 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in ed.near_duplicates(df).collect())
+    assert out == [(0, 0, 0, True), (0, 0, 0, True), (1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
 def test_calibration():
-    for depth in range(8):
+    for rows in (10, 10**3, 10**5, 10**7, 10**9):
+        depth, n = ed.plan(rows)
         p = ed.collision(0.2, depth)
-        c = ed.least_count(p)
-        miss = sum(math.comb(ed.PROJECTIONS, k) * p**k * (1 - p) ** (ed.PROJECTIONS - k) for k in range(c))
-        assert miss <= 1 - ed.RECALL or c == 1
-    assert ed.depth_for(10) == 0 and ed.depth_for(10**4) < ed.depth_for(10**7)
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(ed.COUNT)) <= 1 - ed.RECALL
+        assert rows * ed.collision(math.sqrt(2), depth) <= ed.MEET
+    assert ed.plan(10**9)[1] < 10 * ed.plan(10**3)[1]  # lines grow slowly
