@@ -14,15 +14,13 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_those_of_tokenizers(tokenizer):
     rng = random.Random(1)
     texts = [t or "" for _, t in ODD if len(t or "") < 1000]
-    texts += ["a  b", " lead", "trail ", "line\n next", "tab\t x", "it's 's ' s", "  x", "x  y", "<|endoftext|> z", "1 22 333,4"]
+    texts += ["a  b", " lead", "trail ", "line\n next", "tab\t x", "it's 's ' s", "  x", "x  y", "<|endoftext|> z", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext", " <|endoftext|>  ", "1 22 333,4"]
     texts += ["".join(rng.choice("ab1 .,'s\n\té ß") for _ in range(rng.randrange(40))) for _ in range(500)]
     enc = packing.encoder("byte_bpe_50k.json")
     for t in texts:
