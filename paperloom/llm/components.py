@@ -14,7 +14,7 @@ from .common import materialize
 FOREST_NODES = 500_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest (node, smallest node) of what each task reads."""
     parent: dict[int, int] = {}
 
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    stars = materialize(pairs.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    stars = materialize(pairs.mapInArrow(forest, "u long, v long").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
-from .components import connected_components
+from .components import connected_components, forest
 from .shingles import WORDS, near_copies
 
 SEED = 42
 #: First bit and width of the three segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: A bucket of up to so many fingerprints is compared pair by pair; larger ones go by shared neighbours.
+#: A bucket of up to so many fingerprints is compared pair by pair; larger ones are split by keys of the third segment first.
 BUCKET_PAIRS = 64
 _BLOCK = 1 << 16
 _GENERATOR = 0b101011100011  # of the (23, 12) Golay code
@@ -96,19 +96,43 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     and to its neighbours at one bit. Two words at one bit share such an index, as each one's own
     nearest codeword is among the other's.
     """
+    rows, out = [], []
+    segment = _segments(fp)
+    for t in range(3):
+        row, index = _near(segment[(t + 1) % 3], SEGMENTS[(t + 1) % 3][1])
+        rows.append(row)
+        out.append(t << 40 | segment[t][row] << 12 | index)
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _segments(fp: np.ndarray) -> list[np.ndarray]:
+    return [(fp >> np.uint64(a) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
+
+
+def _near(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index) of the codewords nearest to each word and to its neighbours at one bit."""
     if not _golay:
         _golay.append(Golay())
+    flips = np.array([0, *(1 << i for i in range(width))], np.int64)
+    index = np.sort(_golay[0].index(words[:, None] ^ flips), axis=1)
+    new = np.ones(index.shape, bool)
+    new[:, 1:] = index[:, 1:] != index[:, :-1]
+    row, col = np.nonzero(new)
+    return row, index[row, col]
+
+
+def finer_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) that split the buckets of ``keys`` by the segment that they leave open.
+
+    It differs in at most 2 bits. Two words at 2 bits have a neighbour at one bit in common, and so its index.
+    """
+    segment, of = _segments(fp), key >> 40
     rows, out = [], []
-    segment = [(fp >> np.uint64(a) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
     for t in range(3):
-        exact, fuzzy, width = segment[t], segment[(t + 1) % 3], SEGMENTS[(t + 1) % 3][1]
-        flips = np.array([0, *(1 << i for i in range(width))], np.int64)
-        index = np.sort(_golay[0].index(fuzzy[:, None] ^ flips), axis=1)
-        new = np.ones(index.shape, bool)
-        new[:, 1:] = index[:, 1:] != index[:, :-1]
-        row, col = np.nonzero(new)
-        rows.append(row)
-        out.append(t << 40 | exact[row] << 12 | index[row, col])
+        own, k = np.flatnonzero(of == t), (t + 2) % 3
+        row, index = _near(segment[k][own], SEGMENTS[k][1])
+        rows.append(own[row])
+        out.append(key[own[row]] << 12 | index)  # t, 22 bits and two indices: 48 bits
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -119,29 +143,39 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(node[row])], ["key", "fp", "node"])
 
 
-def _close(max_bits: int):
-    """Over rows sorted by key: links inside small buckets (u, v), members of large ones (u, fp)."""
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        row, finer = finer_keys(key, fp.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[row]), pa.array(node[row])], ["key", "fp", "node"])
+
 
-    def out(u, v, fp) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(fp, pa.int64())], ["u", "v", "fp"])
+def _close(max_bits: int, bucket: float):
+    """Over rows sorted by key: links inside buckets of up to ``bucket`` rows (u, v), members of larger ones (u, key, fp)."""
 
-    def members(fp, node) -> pa.RecordBatch:
-        return out(node, [None] * len(node), fp)
+    def out(u, v, key, fp) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, key, fp)], ["u", "v", "key", "fp"])
+
+    def members(key, fp, node) -> pa.RecordBatch:
+        return out(node, [None] * len(node), key, fp)
 
     def links(key, fp, node) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        big = np.repeat(sizes > BUCKET_PAIRS, sizes)
+        big = np.repeat(sizes > bucket, sizes)
         if big.any():
-            yield members(fp[big], node[big])
+            yield members(key[big], fp[big], node[big])
             key, fp, node = key[~big], fp[~big], node[~big]
-        for d in range(1, BUCKET_PAIRS):
-            same = np.flatnonzero(key[d:] == key[:-d])
+        same = np.arange(len(key))
+        for d in range(1, len(key)):
+            same = same[same < len(key) - d]
+            same = same[key[same + d] == key[same]]
             if not len(same):
                 break
             near = same[np.bitwise_count((fp[same] ^ fp[same + d]).view(np.uint64)) <= max_bits]
             if len(near):
-                yield out(node[near], node[near + d], [None] * len(near))
+                none = [None] * len(near)
+                yield out(node[near], node[near + d], none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
@@ -152,7 +186,7 @@ def _close(max_bits: int):
             key, fp, node = (np.concatenate([k, b.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept))
             if large is not None:
                 n = int(np.searchsorted(key, large, "right"))
-                yield members(fp[:n], node[:n])
+                yield members(key[:n], fp[:n], node[:n])
                 key, fp, node = key[n:], fp[n:], node[n:]
                 if not len(key):
                     kept = [np.zeros(0, np.int64)] * 3
@@ -161,8 +195,8 @@ def _close(max_bits: int):
             if last:
                 yield from links(key[:last], fp[:last], node[:last])
             kept, large = [key[last:], fp[last:], node[last:]], None
-            if len(kept[0]) > BUCKET_PAIRS:
-                yield members(kept[1], kept[2])
+            if len(kept[0]) > bucket:
+                yield members(*kept)
                 large, kept = int(key[-1]), [np.zeros(0, np.int64)] * 3
         if len(kept[0]):
             yield from links(*kept)
@@ -174,21 +208,19 @@ def links(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all ``nodes`` (fp, node; distinct fp) at 2 or fewer differing bits.
 
     One shuffle of some 16 keys a distinct fingerprint, sorted by key and compared in place. A bucket
-    has distinct fingerprints that agree in a segment, so copies do not fill it. Members of
-    the few buckets too large for pairs are linked through the words at one bit from them: two
-    fingerprints differ in at most 2 bits just when they share such a word, and at most 65 share one.
+    has distinct fingerprints that agree in a segment, so copies do not fill it. The few buckets too large
+    for pairs are split by Golay indices of the remaining segment and dealt anew, so no task keeps them; what shares
+    all three is compared in blocks, and only a spanning forest of what each task finds is written.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_key = nodes.select("fp", "node").mapInArrow(_keyed, "key long, fp long, node long")
-    found = materialize(
-        by_key.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_close(2), "u long, v long, fp long"), "links"
-    )
+    sorted_keys = by_key.repartition(parts, "key").sortWithinPartitions("key")
+    found = materialize(sorted_keys.mapInArrow(_close(2, BUCKET_PAIRS), "u long, v long, key long, fp long"), "links")
     pairs = found.where("v is not null").select("u", "v")
-    around = F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))")
-    crowded = found.where("v is null").select("fp", F.col("u").alias("node")).distinct()
-    shared = crowded.select("node", around.alias("word")).groupBy("word").agg(F.array_sort(F.collect_list("node")).alias("own"))
-    stars = shared.where("size(own) > 1").select(F.col("own")[0].alias("u"), F.expr("explode(slice(own, 2, 65))").alias("v"))
-    return pairs.unionByName(stars)
+    crowded = found.where("v is null").select("key", "fp", F.col("u").alias("node"))
+    finer = crowded.mapInArrow(_finer, "key long, fp long, node long").repartition(parts, "key").sortWithinPartitions("key")
+    close = finer.mapInArrow(_close(2, float("inf")), "u long, v long, key long, fp long").select("u", "v")
+    return pairs.unionByName(materialize(close.mapInArrow(forest, "u long, v long"), "forest"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
