@@ -29,7 +29,8 @@ def unescape(text: Column, header: bool = False) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """conv_id and its final messages: array of (role, text) in order of each message's first event.
+    """conv_id and its final messages: array of (role, text) in order of each message's first event; of messages that begin
+    at one seq, in order of role and text.
 
     ``events`` has conv_id, seq, message (any key of a message), kind, role, text. Events apply by
     seq; a null seq comes first, and ties fall by kind, role and text. The last edit or regenerate of a message drops what came before it. Null
@@ -48,7 +49,7 @@ def fold(events: DataFrame) -> DataFrame:
     messages = logs.withColumn("reset", F.coalesce(F.array_max(resets), F.lit(1))).select(
         "conv_id",
         F.struct(
-            F.col("log")[0]["seq"].alias("seq"), "message",
+            F.col("log")[0]["seq"].alias("seq"),
             F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), text.alias("text"),
         ).alias("m"),
     )
@@ -59,9 +60,32 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(folded: DataFrame) -> DataFrame:
-    """conv_id and ``formatted``: each message as start mark, role, line end, text, end mark, line end."""
-    turn = lambda m: F.concat(F.lit(START), escape(m["role"], True), F.lit("\n"), escape(m["text"]), F.lit(END + "\n"))
-    return folded.select("conv_id", F.array_join(F.transform("messages", turn), "").alias("formatted"))
+    """conv_id, ``formatted`` and ``loss_spans``: each message as start mark, role, line end, text, end mark, line end.
+
+    ``loss_spans`` are the (start, end) of the escaped texts of learned messages in ``formatted``: code points, end exclusive,
+    empty texts too. A conversation without messages is an empty string; null roles and texts are empty.
+    """
+    of = lambda m, c: F.coalesce(m[c], F.lit(""))
+    turns = F.transform(
+        "messages",
+        lambda m: F.struct(
+            F.concat(F.lit(START), escape(of(m, "role"), True), F.lit("\n")).alias("head"), escape(of(m, "text")).alias("body"),
+            (of(m, "role") == LEARNED_ROLE).alias("learned"),
+        ),
+    )
+    span = "struct<start:bigint,end:bigint>"
+    begun = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+
+    def add(acc, t):
+        start = acc["at"] + F.length(t["head"])
+        end = start + F.length(t["body"])
+        own = F.struct(start.alias("start"), end.alias("end")).cast(span)
+        return F.struct((end + len(END) + 1).alias("at"), F.when(t["learned"], F.array_append(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+    return folded.select("conv_id", turns.alias("turns")).select(
+        "conv_id", text.alias("formatted"), F.aggregate("turns", begun, add, lambda acc: acc["spans"]).alias("loss_spans")
+    )
 
 
 def read_back(formatted: Column) -> Column:
@@ -79,7 +103,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """The event log of finished conversations (conv_id, turn, role, text): each row opens a message and streams its text."""
+    """The event log of finished conversations (conv_id, turn, role, text): each row opens a message and streams its text.
+
+    Every row is a message of its own, repeated rows too; a null turn comes first.
+    """
     rows = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message"))
     first = F.col("turn").cast("long") * 2
     two = F.array(
@@ -90,14 +117,15 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 
 def summary(rendered: DataFrame) -> DataFrame:
-    """What reads back from each formatted conversation."""
-    back = rendered.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    """What reads back from each formatted conversation, with the spans under the loss mask as start:end, comma-joined."""
+    back = rendered.select("conv_id", "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: t["text"]), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.array_join(F.transform("loss_spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("loss_spans"),
     )
 
 
@@ -109,15 +137,18 @@ WITH rows AS (
   UNION ALL
   SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), escaped AS (
-  SELECT *, length('<|im_start|><|im_end|>') + 2
-            + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\-'))
-            + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n
+  SELECT *, length('<|im_start|>') + 1 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\-')) AS head,
+         length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS body, length('<|im_end|>') + 1 AS tail
   FROM rows
+), placed AS (
+  SELECT *, row_number() OVER w AS k, sum(head + body + tail) OVER w - body - tail AS start
+  FROM escaped WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(n)::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(head + body + tail)::BIGINT AS formatted_chars,
+       coalesce(string_agg(start::BIGINT || ':' || (start + body)::BIGINT, ',' ORDER BY k) FILTER (role = 'assistant'), '') AS loss_spans
+FROM placed GROUP BY conv_id
 """

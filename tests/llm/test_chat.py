@@ -27,7 +27,7 @@ def test_read_back_equals_the_input(spark):
     got = summary(spark, rows)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for conv in {r[0] for r in rows}:
-        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv), key=lambda r: r[0])
+        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv), key=lambda r: r)
         learned = "".join(t for _, role, t in own if role == "assistant")
         assert got[conv]["n_turns"] == len(own)
         assert got[conv]["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for _, role, t in own))
@@ -53,3 +53,25 @@ def test_formatted_text(spark):
     assert chat.render(chat.fold(chat.as_events(df))).first()["formatted"] == (
         "<|im_start|>user\nq<\\|<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
     )
+
+
+def test_equal_turns_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 0, "user", "a"), (None, 0, "user", "c"), (None, 1, None, None)]
+    out = []
+    for own in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(own, "conv_id long, turn long, role string, text string").repartition(3)
+        folded = chat.fold(chat.as_events(df)).collect()
+        out.append({r["conv_id"]: [tuple(m) for m in r["messages"]] for r in folded})
+    assert out[0] == out[1] == out[2] == {1: [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")], None: [("user", "c"), ("", "")]}
+
+
+def test_loss_spans_hold_the_learned_texts(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(NASTY)] + [(2, 0, "user", "none"), (2, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.render(chat.fold(chat.as_events(df))).collect():
+        own = [r["formatted"][a:b] for a, b in r["loss_spans"]]
+        wanted = [t for c, k, role, t in rows if c == r["conv_id"] and role == "assistant"]
+        assert [x.replace("<\\|", "<|").replace("\\\\", "\\") for x in own] == wanted
+    assert chat.render(chat.fold(chat.as_events(df.limit(0)))).collect() == []
+    empty = spark.sql("select 5L as conv_id, cast(array() as array<struct<role:string,text:string>>) as messages")
+    assert [tuple(r) for r in chat.render(empty).collect()] == [(5, "", [])]
