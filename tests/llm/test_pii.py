@@ -74,3 +74,11 @@ def test_masked(spark, none):
     assert got.dtypes == df.dtypes
     assert {tuple(r) for r in got.collect()} == {(1, "mail [EMAIL] now", "en", 16), (2, None, "de", 0)}
     assert pii.masked(none).collect() == []
+
+
+def test_ibans_end_where_their_country_says():
+    for text in ("IBAN GB82WEST12345698765432 AND MORE", "GB82 WEST 1234 5698 7654 32 AND", "x GB82WEST12345698765432, y", "DE89 3704 0044 0532 0130 00"):
+        (own,) = [s for s in pii.find(text) if s[0] == "iban"]
+        assert pii.mod97(text[own[1] : own[2]]) and len(text[own[1] : own[2]].replace(" ", "")) == 22
+    for text in ("GB82WEST12345698765432A", "GB82WEST1234569876543", "ZZ82WEST12345698765432", "GB82  WEST12345698765432", "GB82", "GB82 "):
+        assert not [s for s in pii.find(text) if s[0] == "iban"]
