@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import bound_batches, id_and_text
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -144,14 +144,18 @@ class Windows(dict):
             if len({q for _, q in pairs}) >= least * self.total[item] and (best := self.occurrence(words[r], item, pairs, least)):
                 yield r, self.ids[item], *best
 
-    def values(self, words: list[str], item: int, pairs: list[tuple[int, int]]) -> dict[str, str] | None:
-        """The text's value for each value of the item; None if one stands for several."""
-        out: dict[str, str] = {}
+    def values(self, words: list[str], item: int, pairs: list[tuple[int, int]]) -> dict[int | str, tuple[str, str]] | None:
+        """The item's and the text's value of each slot; None if a slot has several.
+
+        A number or unit is bound by its place in the item, as equal ones may be replaced by different ones. A name is bound by what it
+        says: it stays one name throughout.
+        """
+        out: dict[int | str, tuple[str, str]] = {}
         for p, q in pairs:
-            for k in range(WINDOW):
-                if self.slot(item, q + k):
-                    own = bare(words[p + k])
-                    if out.setdefault(bare(self.words[item][q + k]), own) != own:
+            for k in range(q, q + WINDOW):
+                if self.slot(item, k):
+                    both = bare(self.words[item][k]), bare(words[p + k - q])
+                    if out.setdefault(both[0] if self.tokens[item][k] == NAME else k, both) != both:
                         return None
         return out
 
@@ -163,7 +167,7 @@ class Windows(dict):
         """The best place in a text: share of the item's windows, and whether slots hold the same or other values.
 
         Hits further apart than twice the item's length are separate occurrences. One counts only if
-        its slots are consistent: each value of the item stands for a single value of the text. Hits that are
+        its slots are consistent: each number's place and each name of the item stands for a single value of the text. Hits that are
         not consistent together are judged by alignment: see ``aligned``.
         """
         span, groups = 2 * len(self.tokens[item]), []
@@ -181,11 +185,11 @@ class Windows(dict):
             for hits, values in found:
                 share = len({q for _, q in hits}) / self.total[item]
                 if share >= least:
-                    kind = "verbatim" if all(v == x for x, v in values.items()) else "reparameterised"
+                    kind = "verbatim" if all(x == v for x, v in values.values()) else "reparameterised"
                     best = max(best or (0.0, ""), (share, kind))
         return best
 
-    def aligned(self, words: list[str], item: int, group: list[tuple[int, int]]) -> Iterator[tuple[list, dict[str, str]]]:
+    def aligned(self, words: list[str], item: int, group: list[tuple[int, int]]) -> Iterator[tuple[list, dict]]:
         """Consistent hits and their values for every diagonal (place in the text less place in the item).
 
         A diagonal whose own hits are inconsistent is no occurrence. To each other one, the windows that
@@ -228,22 +232,23 @@ class Windows(dict):
                 for k, own in enumerate(map(bare, text)):
                     name = bare(self.words[item][k])
                     if self.slot(item, k):
-                        good &= values.setdefault(name, own) == own
+                        good &= values.setdefault(name if self.tokens[item][k] == NAME else k, (name, own))[1] == own
                     elif k == 0:
                         good &= own.lower() == name.lower()
-                same = all(x == v for x, v in values.items())
+                same = all(x == v for x, v in values.values())
                 if good and (same or plain >= PLAIN_WORDS):
                     found[r] = max(found.get(r, ""), "verbatim" if same else "reparameterised")
             yield from ((r, self.ids[item], 1.0, kind) for r, kind in found.items())
 
 
-def parts(benchmark: DataFrame, part_chars: int, id_col: str = "item_id", text_col: str = "text") -> list[Windows]:
-    """The benchmark in parts of about ``part_chars`` characters each, read one after another."""
+def parts(benchmark: DataFrame, part_chars: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Windows]:
+    """The benchmark in parts of about ``part_chars`` characters each, read one after another: the driver holds one at a time."""
     own = id_and_text(benchmark, id_col, text_col).where("text <> ''")
     size = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // part_chars))
     of = lambda k: own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == k) if n > 1 else own
-    return [Windows([(r["doc_id"], r["text"]) for r in of(k).orderBy("doc_id", "text").collect()]) for k in range(n)]
+    for k in range(n):
+        yield Windows([(r["doc_id"], r["text"]) for r in of(k).orderBy("doc_id", "text").collect()])
 
 
 def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -291,7 +296,12 @@ def matches(
 def clean(
     docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, part_chars: int = PART_CHARS, text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that hold an item of the benchmark; all columns as they are, no shuffle."""
+    """``docs`` without the rows that hold an item of the benchmark; all columns as they are, no shuffle.
+
+    Null and empty texts stay; every row is judged by itself, so repeated rows share one fate; an empty benchmark takes
+    nothing away, and an empty table stays empty.
+    """
+    bound_batches(docs.sparkSession)
     for windows in parts(benchmark, part_chars):
         held = docs.sparkSession.sparkContext.broadcast(windows)
 

@@ -29,14 +29,18 @@ def test_verbatim_reparameterised_and_clean(spark):
 
 
 def test_slots_must_be_consistent():
-    item = "take 3 red apples and 3 green pears then 3 blue plums and 3 ripe figs from old baskets now"
+    item = "then old Mia gave 3 red apples to young Tom and so Mia kept 3 green pears while poor Tom ate them all"
     w = dec.Windows([(1, item)])
-    same = item.replace("3", "8")
-    mixed = item.replace("3", "8", 1)
-    assert [m[3] for m in w.matches([same], 0.8)] == ["reparameterised"]
-    assert list(w.matches([mixed], 0.8)) == []
+    kinds = lambda t: [m[3] for m in w.matches([t], 0.8)]
+    other = item.replace("Mia", "Ada").replace("Tom", "Bob")
+    assert kinds(other) == ["reparameterised"]
+    # numbers are bound by place: equal ones may become different ones
+    assert kinds(item.replace("3 red", "5 red").replace("3 green", "7 green")) == ["reparameterised"]
+    # a name stays one name
+    mixed = item.replace("Mia", "Ada", 1)
+    assert kinds(mixed) == []
     # an occurrence further on is judged by itself
-    assert [m[3] for m in w.matches([mixed + " filler" * 60 + " " + item], 0.8)] == ["verbatim"]
+    assert kinds(mixed + " filler" * 60 + " " + item) == ["verbatim"]
 
 
 def brute(texts, items, least=0.8):
@@ -82,6 +86,14 @@ def test_clean_keeps_whole_rows(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in (6, 7))
 
 
+def test_clean_with_empty_tables(spark, odd, none):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert dec.clean(none, bench).collect() == [] and dec.clean(none, bench.limit(0)).collect() == []
+    assert dec.clean(odd, bench.limit(0)).count() == odd.count()
+    twice = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in dec.clean(twice, bench).collect()] == [2]
+
+
 def test_occurrences_side_by_side_and_repeated_windows():
     w = dec.Windows([(1, ITEM)])
     third = ITEM.replace("5 hours", "8 hours").replace("120", "240")
