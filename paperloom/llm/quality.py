@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -96,8 +97,12 @@ class Field:
     def mean(self, x: np.ndarray, lengths: np.ndarray) -> float:
         return float(self.marginals(x) @ lengths / lengths.sum())
 
-    def score(self, text: str) -> float:
-        return self.calibrated(self.mean(*features(text)))
+    def score(self, text: str) -> tuple[float, int, int]:
+        """The document's score, and how many lines are good and bad by their marginals."""
+        x, lengths = features(text)
+        p = self.marginals(x)
+        good = int((p >= 0.5).sum())
+        return self.calibrated(float(p @ lengths / lengths.sum())), good, len(p) - good
 
     def calibrated(self, mean: float) -> float:
         return 1 / (1 + math.exp(-(self.slope * logit(mean) + self.offset)))
@@ -182,7 +187,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """The field fitted on at most ``examples`` labelled rows that are not held out, of the smallest hash of their id.
 
-    Of several labels of one id the least holds. Without labels every score is one half.
+    Of several labels of one id the least holds, of several rows of one id that of the smallest digest, so the driver reads no
+    more documents than ``examples``, one partition after another. Without labels every score is one half.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("own_id"), F.col("quality").cast("int").alias("quality"))
@@ -192,20 +198,23 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [features(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            own = [features(t) for t in texts]
+            digests = [hashlib.md5(t.encode("utf-8", "replace")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x.tobytes() for x, _ in own]), pa.array([n.tobytes() for _, n in own]), b.column(2)],
-                ["doc_id", "x", "n", "y"],
+                [b.column(0), pa.array(digests), b.column(2), pa.array([x.tobytes() for x, _ in own]), pa.array([n.tobytes() for _, n in own])],
+                ["doc_id", "digest", "y", "x", "n"],
             )
 
     own = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id"))
-    rows = own.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x binary, n binary, y int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    return train([(np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH), np.frombuffer(r["n"]), r["y"]) for r in rows])
+    found = own.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, digest binary, y int, x binary, n binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("digest", "y", "x", "n")).alias("e"))
+    rows = sorted((r["doc_id"], r["e"]["x"], r["e"]["n"], r["e"]["y"]) for r in one.toLocalIterator())
+    return train([(np.frombuffer(x, np.float32).reshape(-1, WIDTH), np.frombuffer(n), y) for _, x, n, y in rows])
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score: the calibrated chance that the document is good, one row for each input row.
+    """doc_id, score (the calibrated chance that the document is good), good_lines and bad_lines, one row for each input row.
 
     Every line gets P(good) from its own features and those of its neighbours; a document's score is their mean weighted
     by length. Null text is one empty line; repeated rows score alike; an empty table gives no rows. No text is shuffled.
@@ -214,7 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = pa.array([held.value.score(t) for t in b.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), own], ["doc_id", "score"])
+            own = [held.value.score(t) for t in b.column(1).to_pylist()]
+            cols = [pa.array([o[k] for o in own], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "score", "good_lines", "bad_lines"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, good_lines long, bad_lines long")

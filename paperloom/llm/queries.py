@@ -32,8 +32,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
-        "doc_id", hold_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
-    )
+        "doc_id", hold_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "good_lines", "bad_lines",
+    )
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

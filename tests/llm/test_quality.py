@@ -68,6 +68,17 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
         assert q.score(none, l).collect() == []
 
 
+def test_lines_are_labelled(spark):
+    docs, labels = corpus()
+    field = q.fit(*frames(spark, docs, labels))
+    bad, good = next(t for i, t, _ in docs if i % 4 == 0), next(t for i, t, _ in docs if i % 4)
+    for text, share in ((bad, 0.0), (good, 1.0)):
+        _, up, down = field.score(text)
+        assert up + down == text.count("\n") + 1 and abs(up / (up + down) - share) <= 0.25
+    repeated = docs + [(docs[1][0], "another text under the same id", "x")] * 50
+    assert len(q.score(*frames(spark, repeated, labels)).collect()) == len(repeated)
+
+
 def test_extreme_lines_stay_finite():
     field = q.Field(np.full(q.WIDTH, 50.0), np.zeros(2), np.full((2, 2), 3.0))
-    assert 0 <= field.score("#" * 100_000) <= 1 and 0 <= field.score("\n" * 5000) <= 1
+    assert 0 <= field.score("#" * 100_000)[0] <= 1 and 0 <= field.score("\n" * 5000)[0] <= 1
