@@ -20,8 +20,11 @@ from .common import bound_batches, hold_out, id_and_text
 EXAMPLES = 6000
 NEIGHBOURS = 20
 BLOCK = 64
-#: Blocks that are scored before bounds are first held against the k-th cosine; each further round scores twice as many.
-FIRST_BLOCKS = 24
+#: Blocks that are scored before bounds are first held against the k-th cosine.
+FIRST_BLOCKS = 16
+#: Terms that stand in most examples: their postings are full columns, multiplied for ``TOGETHER`` texts at once; a block's bound holds
+#: their exact part.
+COMMON, TOGETHER = 1024, 128
 #: Weight of the overall rate among a vote's neighbours.
 PRIOR_WEIGHT = 1.0
 #: A term's idf is multiplied by this and by how many standard errors it is commoner in toxic examples, where it is;
@@ -83,11 +86,19 @@ class Index:
         self.toxic = [sum(y for _, y in m) for _, m in entries]
         vectors = [v for v, _ in entries]
         self.blocks = max(1, -(-len(entries) // BLOCK))
+        self.block_start, self.block_of = np.arange(0, len(entries), BLOCK), np.arange(len(entries)) // BLOCK
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        value = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        often = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:COMMON]
+        self.column = np.full(len(terms), -1, np.int64)  # of the common terms
+        self.column[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), len(vectors)))
+        common = self.column[term] >= 0
+        self.full[self.column[term[common]], doc[common]] = value[common]
+        term, doc, value = term[~common], doc[~common], value[~common]
         order = np.lexsort((doc, term))
-        term, self.doc = term[order], doc[order].astype(np.int32)
-        self.value = np.concatenate([w for _, w in vectors] or [np.zeros(0)])[order]
+        term, self.doc, self.value = term[order], doc[order].astype(np.int32), value[order]
         block = self.doc // BLOCK
         begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         # a run is the postings of a term in a block
@@ -112,34 +123,51 @@ class Index:
         known = t >= 0
         return t[known], c[known], float(((1 + np.log(c[~known])) ** 2).sum()), bool(found)
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosine of each query (a row) with each entry."""
+        q = np.zeros((len(queries), len(self.full)))
+        for row, (t, w) in zip(q, queries):
+            at = self.column[t]
+            row[at[at >= 0]] = w[at >= 0]
+        return q @ self.full
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, base: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The ``k`` entries of the greatest cosine (positive; ties by their order), found exactly.
 
-        Blocks are scored in falling order of their bounds, a few at a time, until no bound exceeds the k-th cosine.
+        Blocks are scored in falling order of their bounds, a few at a time, until no bound exceeds the k-th cosine. ``base`` is the
+        query's row of ``common_part``.
         """
+        if not self.ids:
+            return []
+        if base is None:
+            base = self.common_part([(t, w)])[0]
+        rare = self.column[t] < 0
+        t, w = t[rare], w[rare]
         run, of = ranges(self.term_runs[t], self.term_runs[t + 1])
-        bound = np.bincount(self.run_block[run], self.run_max[run] * w[of], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        at, step = 0, FIRST_BLOCKS
-        while at < len(order):
-            part = order[at : at + step]
-            if len(best) == k:
-                part = part[bound[part] >= best[0][0] - 1e-9]
-                if not len(part):
-                    break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            on = chosen[self.run_block[run]]
-            post, of_run = ranges(self.run_start[run[on]], self.run_start[run[on] + 1])
-            score = np.round(np.bincount(self.doc[post], self.value[post] * w[of[on]][of_run], len(self.ids)), 12)
-            hits = np.flatnonzero(score > max(0.0, best[0][0] - 1e-9 if len(best) == k else 0.0))
-            if len(hits) > k:
-                hits = hits[np.lexsort((hits, -score[hits]))[:k]]
-            best = heapq.nlargest(k, best + [(float(score[d]), -int(d)) for d in hits])[::-1]
-            at, step = at + step, 2 * step
-        return [(s, -d) for s, d in reversed(best)]
+        at_block, weight = self.run_block[run], w[of]
+        bound = np.bincount(at_block, self.run_max[run] * weight, self.blocks) + np.maximum.reduceat(base, self.block_start)
+        first = np.argpartition(bound, -FIRST_BLOCKS)[-FIRST_BLOCKS:] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
+        best = self.scored(first, base, run, at_block, weight, k)
+        least = best[-1][0] if len(best) == k else 0.0
+        bound[first] = -1.0
+        rest = np.flatnonzero(bound > max(0.0, least - 1e-9))
+        return heapq.nsmallest(k, best + self.scored(rest, base, run, at_block, weight, k), key=lambda e: (-e[0], e[1])) if len(rest) else best
+
+    def scored(self, blocks: np.ndarray, base: np.ndarray, run: np.ndarray, at_block: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The ``k`` best entries of some blocks, from the common part and the runs of the query's other terms there."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        on = np.flatnonzero(chosen[at_block])
+        own = run[on]
+        post, of_run = ranges(self.run_start[own], self.run_start[own + 1])
+        score = np.round(base + np.bincount(self.doc[post], self.value[post] * weight[on][of_run], len(base)), 12)
+        score[~chosen[self.block_of]] = 0.0
+        hits = np.flatnonzero(score > 0)
+        if len(hits) > k:
+            cut = np.partition(score[hits], len(hits) - k)[len(hits) - k]
+            hits = hits[score[hits] >= cut]
+        best = sorted(zip((-score[hits]).tolist(), hits.tolist()))[:k]
+        return [(-s, d) for s, d in best]
 
     def vote(self, near: list[tuple[float, int]], without: int = -1, label: int = 0) -> float:
         """Labels of the nearest examples weighted by the inverse of their distance, with the overall rate as one
@@ -160,7 +188,9 @@ class Index:
         """Isotonic steps from votes to rates, straight between them; each example's vote is taken without itself."""
         votes = []
         for d, (t, w) in enumerate(vectors):
-            near = self.nearest(t, w, NEIGHBOURS + 1)
+            if d % TOGETHER == 0:
+                base = self.common_part(vectors[d : d + TOGETHER])
+            near = self.nearest(t, w, NEIGHBOURS + 1, base[d % TOGETHER])
             for label, n in ((0, self.size[d] - self.toxic[d]), (1, self.toxic[d])):
                 if n:
                     votes.append((self.vote(near, d, label), label * n, n))
@@ -173,17 +203,19 @@ class Index:
         rates = [(p[2] + self.rate) / (p[3] + 1) for p in pools]
         self.steps = ([v for p in pools for v in p[:2]], [r for r in rates for _ in range(2)])
 
-    def score(self, text: str) -> tuple[float, list[int], list[str]]:
-        """Score, ids of the nearest examples, and the terms that weigh most in the text's own vector."""
-        t, c, unknown, any_words = self.counts(text)
-        if not any_words:
-            return self.empty_score, [], []
-        t, w = self.unit(t, c, unknown)
-        near = self.nearest(t, w, NEIGHBOURS)
-        v = self.vote(near)
-        score = float(np.interp(v, *self.steps)) if self.steps[1] else v
-        top = t[np.lexsort((t, -w))[:5]] if near else []
-        return score, [i for _, d in near for i in self.ids[d][:3]][:3], [self.names[x] for x in top]
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[int], list[str]]]:
+        """Of each text its score, ids of the nearest examples, and the terms that weigh most in the text's own vector."""
+        for k in range(0, len(texts), TOGETHER):
+            counted = [self.counts(x) for x in texts[k : k + TOGETHER]]
+            queries = [self.unit(t, c, unknown) for t, c, unknown, _ in counted]
+            for (t, w), row, (*_, any_words) in zip(queries, self.common_part(queries), counted):
+                if not any_words:
+                    yield self.empty_score, [], []
+                    continue
+                near = self.nearest(t, w, NEIGHBOURS, row)
+                v = self.vote(near)
+                top = t[np.lexsort((t, -w))[:5]] if near else []
+                yield float(np.interp(v, *self.steps)) if self.steps[1] else v, [i for _, d in near for i in self.ids[d][:3]][:3], [self.names[x] for x in top]
 
 
 def _chosen(labels: DataFrame, examples: int, id_col: str) -> DataFrame:
@@ -258,7 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.score(t) for t in b.column(1).to_pylist()]
+            found = list(held.value.scores(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f[0] for f in found], pa.float64()),
                  pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))],
@@ -280,6 +312,7 @@ def keep(docs: DataFrame, labels: DataFrame, reject: float = REJECT, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
-            yield b.filter(pa.array([own.score(t or "")[0] < reject for t in b.column(text_col).to_pylist()], pa.bool_()))
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array([s < reject for s, *_ in own.scores(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
