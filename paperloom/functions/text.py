@@ -461,3 +461,73 @@ def review_fold(grades: Column, ease: float = 2.5) -> Column:
     """The state after a history of grades, in order."""
     start = F.struct(F.lit(0).alias("reps"), F.lit(ease).alias("ease"), F.lit(0.0).alias("interval"))
     return F.aggregate(grades, start, reviewed)
+
+
+def source_is_short(c) -> Column:
+    """A source that may stand as it is: three words at most, or no letters."""
+    own = F.col(c) if isinstance(c, str) else c
+    return unchanged_ok(own, own)
+
+
+def unique_keep_order(c) -> Column:
+    """The trimmed texts of an array, each once by its lower case, the first spelling in the first place; blank ones dropped."""
+    own = F.filter(F.transform(c, lambda x: F.trim(text(x))), lambda x: x != "")
+    low = F.transform(own, F.lower)
+    return F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """A timestamp as told in a list: the clock today and yesterday, month and day this year, else the date; empty without."""
+    day, clock = F.datediff(now, at), F.date_format(at, "HH:mm")
+    this_year = F.concat(F.month(at).cast("string"), F.lit("月"), F.dayofmonth(at).cast("string"), F.lit("日"))
+    out = F.when(day == 0, F.concat(F.lit("今天 "), clock)).when(day == 1, F.concat(F.lit("昨天 "), clock)).when(F.year(at) == F.year(now), this_year)
+    return F.when(at.isNull(), "").otherwise(out.otherwise(F.date_format(at, "yyyy-MM-dd")))
+
+
+def fill_template(c, values: dict[str, Column]) -> Column:
+    """A template with its names in double braces replaced; null values and names without one by nothing."""
+    parts = F.regexp_extract_all(text(c), F.lit(r"\{\{(\w+)\}\}|((?:(?!\{\{\w+\}\})[\s\S])+)"), 0)
+    pairs = [x for k, v in values.items() for x in (F.lit("{{" + k + "}}"), v.cast("string"))]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\{\{\w+\}\}$"), text(known[p])).otherwise(p)), "")
+
+
+def layout_key(c, prefix: str = "pdf-layout:", marker: str = ":source-v3") -> Column:
+    """(docHash, page, mode, protocol, pipeline) of a layout's key, or null: prefix, hash, page, mode, protocol, marker and perhaps a pipeline."""
+    t = text(c)
+    pattern = "^" + prefix + r"(.+):([0-9]+):([^:]+):([^:]+)" + marker + r"(?::([A-Za-z0-9._+-]+))?$"
+    part = lambda k: F.regexp_extract(t, pattern, k)
+    page = part(2).cast("int")
+    return F.when(page >= 1, F.struct(part(1).alias("docHash"), page.alias("page"), part(3).alias("mode"), part(4).alias("protocol"), part(5).alias("pipeline")))
+
+
+# --- fixed values: commands of LaTeX and what they show -------------------------------------------
+LATEX_SHOWN = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ϵ", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "vartheta": "ϑ",
+    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ",
+    "phi": "ϕ", "varphi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π",
+    "Sigma": "Σ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω", "times": "×", "cdot": "·", "pm": "±", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥",
+    "neq": "≠", "ne": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "in": "∈", "notin": "∉", "subset": "⊂", "cup": "∪", "cap": "∩", "sum": "∑",
+    "prod": "∏", "int": "∫", "infty": "∞", "partial": "∂", "nabla": "∇", "sqrt": "√", "to": "→", "rightarrow": "→", "leftarrow": "←", "forall": "∀",
+    "exists": "∃",
+}
+LATEX_WORDS = ("sin", "cos", "tan", "log", "ln", "exp", "max", "min", "lim", "arg", "det", "sup", "inf")
+LATEX_LAYOUT = (
+    "left", "right", "big", "Big", "bigg", "Bigg", "quad", "qquad", "frac", "dfrac", "tfrac", "mathrm", "mathbf", "mathit", "mathcal", "mathbb", "text",
+    "textrm", "textbf", "operatorname", "limits", "nolimits", "displaystyle", "hat", "bar", "tilde", "vec", "dot", "overline", "underline", "label", "tag",
+    "begin", "end",
+)
+# --------------------------------------------------------------------------------------------------
+
+
+def latex_charset(c) -> Column:
+    """(chars, unknown): the distinct characters that LaTeX shows, and the commands that no table holds."""
+    t = F.regexp_replace(text(c), r"\\(?:label|tag|begin|end|hspace|vspace)\*?\{[^{}]*\}", " ")
+    names = F.transform(F.regexp_extract_all(t, F.lit(r"\\([A-Za-z]+)"), 1), lambda n: n)
+    shown = F.create_map(*(F.lit(x) for k, v in LATEX_SHOWN.items() for x in (k, v)))
+    plain = F.regexp_replace(F.regexp_replace(t, r"\\[A-Za-z]+", " "), r"\\[^A-Za-z]|[{}_^&~\s]", "")
+    own = F.filter(F.split(plain, ""), lambda x: x != "")
+    signs = F.filter(F.transform(names, lambda n: shown[n]), lambda x: x.isNotNull())
+    letters = F.flatten(F.transform(F.filter(names, lambda n: n.isin(*LATEX_WORDS)), lambda n: F.filter(F.split(n, ""), lambda x: x != "")))
+    unknown = F.filter(names, lambda n: ~n.isin(*LATEX_SHOWN, *LATEX_WORDS, *LATEX_LAYOUT))
+    return F.struct(F.array_sort(F.array_distinct(F.concat(own, signs, letters))).alias("chars"), F.transform(unknown, lambda n: F.concat(F.lit("\\"), n)).alias("unknown"))

@@ -128,6 +128,6 @@ def neighbours(rows: DataFrame, focus: DataFrame, n: int, key: str = "doc") -> D
 
 
 def history(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Each turn with the texts of the turns before it."""
+    """Each turn with the texts of the turns before it: the sum of all prompts of a conversation, which grows with its square."""
     w = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("history", F.collect_list(F.struct("role", "text")).over(w))

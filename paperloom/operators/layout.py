@@ -41,9 +41,15 @@ def y_clusters(items: list) -> list[list]:
     return out
 
 
-def column_split(items: list, width: float) -> float | None:
-    """The x that parts two columns, by votes of rows whose widest middle gap stands out; the mean of the densest cluster."""
-    votes = []
+def column_split(items: list) -> float | None:
+    """The x that parts two columns, by votes of rows whose widest middle gap stands out; the mean of the densest cluster.
+
+    All shares are of the width that the items span; fewer than six items have no columns.
+    """
+    if len(items) < 6:
+        return None
+    votes, x0 = [], min(i.x for i in items)
+    width = max(1, max(i.x + i.width for i in items) - x0)
     for row in y_clusters(items):
         row = sorted(row, key=lambda i: i.x)
         gaps = []
@@ -51,9 +57,9 @@ def column_split(items: list, width: float) -> float | None:
             end, gap = a.x + a.width, b.x - a.x - a.width
             middle = (end + b.x) / 2
             left, right = row[: k + 1], row[k + 1 :]
-            chars = min(sum(len(i.str) for i in s) for s in (left, right))
+            chars = min(len("".join(i.str for i in s).strip()) for s in (left, right))
             wide = min(left[-1].x + left[-1].width - left[0].x, right[-1].x + right[-1].width - right[0].x)
-            if 0.25 * width <= middle <= 0.75 * width and chars >= 18 and wide > 0.22 * width:
+            if 0.25 * width < middle - x0 < 0.75 * width and chars >= 18 and wide > 0.22 * width:
                 gaps.append((gap, middle))
         gaps.sort(reverse=True)
         if gaps and gaps[0][0] > max(16, 0.045 * width) and (len(gaps) < 2 or gaps[0][0] > 1.5 * gaps[1][0]):
@@ -79,7 +85,7 @@ def _line(row: list) -> dict:
 
 def build_lines(items: list, width: float) -> tuple[list[dict], float | None]:
     """Lines of a page: clusters cut at the split between columns, else at a gap over max(20, a tenth of the width)."""
-    split, out = column_split(items, width), []
+    split, out = column_split(items), []
     for row in y_clusters(items):
         row = sorted(row, key=lambda i: i.x)
         if split is not None and not any(i.x < split - 4 and i.x + i.width > split + 4 for i in row):
@@ -108,6 +114,50 @@ def column_order(lines: list[dict], split: float | None, width: float) -> list[d
     return out + left + right
 
 
+#: A gap that may part columns, votes that are one gutter, and gutters of a page at most.
+GUTTER_GAP, GUTTER_NEAR, GUTTERS = 8, 28, 2
+
+
+def is_prose(s: str) -> bool:
+    """Two words of four letters, twelve letters, and half of it letters."""
+    letters = len(re.findall("[A-Za-z]", s))
+    return len(re.findall("[A-Za-z]{4,}", s)) >= 2 and letters >= 12 and letters >= 0.5 * len(s)
+
+
+def is_run_in(left: str, right: str) -> bool:
+    """A short capitalised heading before the paragraph that it opens."""
+    own, right = left.split(), right.strip()
+    return 1 <= len(own) <= 4 and not re.search("[.!?:]$", left.strip()) and bool(re.match("[A-Z]", right)) and all(re.match("[A-Z0-9]", w) for w in own)
+
+
+def prose_gutters(rows: list[list]) -> list[float]:
+    """Middles of gaps between prose and prose, voted by the rows of a page: clusters of two votes or more, the two leftmost."""
+    votes = []
+    for row in rows:
+        row = sorted(row, key=lambda i: i.x)
+        for k in range(1, len(row)):
+            end = row[k - 1].x + row[k - 1].width
+            left, right = ("".join(i.str for i in part).strip() for part in (row[:k], row[k:]))
+            if row[k].x - end >= GUTTER_GAP and not is_run_in(left, right) and is_prose(left) and is_prose(right):
+                votes.append((end + row[k].x) / 2)
+    clusters: list[list[float]] = []
+    for v in sorted(votes):
+        if clusters and v - mean(clusters[-1]) < GUTTER_NEAR:
+            clusters[-1].append(v)
+        else:
+            clusters.append([v])
+    return [mean(c) for c in clusters if len(c) >= 2][:GUTTERS]
+
+
+def column_gutters(items: DataFrame) -> DataFrame:
+    """(doc, page, gutters) of every page: the x of its gutters, none, one or two."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc": [key[0]], "page": [key[1]], "gutters": [prose_gutters(y_clusters(list(pdf.itertuples())))]})
+
+    return items.groupBy(*PAGE).applyInPandas(run, "doc long, page int, gutters array<double>")
+
+
 def gutters(lines: list[dict]) -> list[float]:
     """Middles of empty runs of the x histogram, at most two, a tenth and more of the width apart."""
     x0, x1 = min(l["x"] for l in lines), max(l["x"] + l["width"] for l in lines)
@@ -473,3 +523,78 @@ def insert_by_position(rows: DataFrame, more: DataFrame) -> DataFrame:
 def block_pairs(rows: DataFrame, translations: DataFrame, width: float, height: float) -> DataFrame:
     """Blocks with their translation and their box in percent of the page."""
     return rows.join(translations.select("bid", "translation"), "bid", "left").withColumn("percent", geometry.percent(F.col("box"), F.lit(width), F.lit(height)))
+
+
+def page_schedule(pages: DataFrame, visible: int) -> DataFrame:
+    """Pages in the order in which to work: the visible one, those within two of it, the rest; nearer first, then by number."""
+    far = F.abs(F.col("page") - visible)
+    return pages.withColumn("band", F.when(far == 0, 0).when(far <= 2, 1).otherwise(2)).orderBy("band", far, "page")
+
+
+def content_fingerprint(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """SHA-256 of a document's pages (doc, page, width, height) and text items (doc, page, id, str, x, y) in order, free of file dates."""
+    r2 = lambda c: F.regexp_replace(F.format_string("%.2f", F.floor(F.col(c) * 100 + 0.5) / 100), r"\.?0+$", "")
+    head = pages.select("doc", "page", F.lit(-1).cast("long").alias("id"), F.concat(F.lit("page:"), "page", F.lit(":"), r2("width"), F.lit("x"), r2("height")).alias("line"))
+    rows = items.select("doc", "page", F.col("id").cast("long").alias("id"), F.concat(tx.text("str"), F.lit("\t"), r2("x"), F.lit(","), r2("y")).alias("line"))
+    own = head.unionByName(rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "id", "line"))).alias("l"), F.count_if(F.col("id") == -1).alias("n"))
+    whole = F.concat(F.lit("pages:"), F.col("n").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return own.select("doc", F.sha2(whole, 256).alias("fingerprint"))
+
+
+def assemble_elements(glyphs: DataFrame, paints: DataFrame, paths: DataFrame, images: DataFrame) -> DataFrame:
+    """One element for each text glyph, unbound painted outline, path and image of a page, with its kind and source.
+
+    Inputs: page, id, box, and char, font (glyphs) or d (the others). A painted outline that a glyph holds or overlaps is that glyph; an unbound one
+    keeps no letter, so that it cannot take a neighbour's.
+    """
+    from . import match
+
+    bound = match.bind(paints, glyphs)
+    none, path = F.lit(""), lambda c: F.when(tx.text(c) != "", F.substring(F.sha2(tx.text(c), 256), 1, 12)).otherwise("")
+    row = lambda df, kind, source, char=none, font=none, h=none: df.select("page", "id", "box", F.lit(kind).alias("kind"), char.alias("char"), font.alias("font"), h.alias("pathHash"), F.lit(source).alias("source"))
+    parts = [
+        row(glyphs, "glyph", "text", tx.text("char"), tx.text("font")), row(bound.where("bound is null"), "glyph", "unbound-paint", h=path("d")),
+        row(paths, "path", "path", h=path("d")), row(images, "image", "image", h=path("d")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def restamp(blocks: DataFrame, seed) -> DataFrame:
+    """Blocks with the id that follows from ``seed`` (a column), the one that they had kept as an alias if it differs; ids themselves stay.
+
+    Of equal seeds of a page the first by top, left and order has the plain id, the others a number; blocks without a seed keep what they have.
+    """
+    from ..functions import ids
+
+    own = blocks.withColumn("__seed", seed)
+    w = Window.partitionBy(*PAGE, "__seed").orderBy(F.col("box.y0").asc_nulls_last(), F.col("box.x0").asc_nulls_last(), "ord")
+    k = F.row_number().over(w)
+    fresh = F.concat(F.lit("b"), ids.fnv36(F.col("__seed")), F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""))
+    own = own.withColumn("__new", F.when(F.col("__seed") != "", fresh).otherwise(F.col("bid")))
+    old = F.filter(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array(tx.text("bid"))), lambda a: (a != "") & ~a.eqNullSafe(F.col("__new")))
+    return own.withColumn("aliases", old).withColumn("bid", F.col("__new")).drop("__new", "__seed")
+
+
+def splice_pieces(source, plans):
+    """Array of (type, text) from a text and its plans, an array of (start, end, latex): text between, and formulas in place of what they cover.
+
+    Plans are taken by start, then end; one that begins before the last taken one ends, leaves the text or covers white space or one placeholder alone is
+    passed over. Null where none is taken.
+    """
+    piece = "array<struct<type:string,text:string>>"
+    sorted_plans = F.array_sort(F.filter(plans, lambda p: p["start"].isNotNull() & p["end"].isNotNull()))
+    covered = lambda p: F.substr(source, p["start"] + 1, p["end"] - p["start"])
+    good = lambda a, p: (p["start"] >= a["at"]) & (p["end"] >= p["start"]) & (p["end"] <= F.length(source)) & ~covered(p).rlike(rf"^\s*(?:{tx.PLACEHOLDER})?\s*$")
+    between = lambda a, p: F.when(p["start"] > a["at"], F.array(F.struct(F.lit("text").alias("type"), F.substr(source, a["at"] + 1, p["start"] - a["at"]).alias("text")))).otherwise(F.array().cast(piece))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(piece).alias("pieces"), F.lit(False).alias("used"))
+
+    def step(a, p):
+        math = F.when(tx.text(p["latex"]) != "", F.array(F.struct(F.lit("math").alias("type"), p["latex"].alias("text")))).otherwise(F.array().cast(piece))
+        taken = F.struct(p["end"].cast("int").alias("at"), F.concat(a["pieces"], between(a, p), math).alias("pieces"), (a["used"] | (tx.text(p["latex"]) != "")).alias("used"))
+        return F.when(good(a, p), taken).otherwise(a)
+
+    def finish(a):
+        rest = F.when(a["at"] < F.length(source), F.array(F.struct(F.lit("text").alias("type"), F.substr(source, a["at"] + 1).alias("text")))).otherwise(F.array().cast(piece))
+        return F.when(a["used"], F.concat(a["pieces"], rest))
+
+    return F.aggregate(sorted_plans, begin, step, finish)

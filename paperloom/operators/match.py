@@ -77,12 +77,13 @@ def unique_anchors(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return once(left, left_id, "left_pos", r.select("gram")).join(r, "gram").select(left_id, right_id, "left_pos", "right_pos")
 
 
-def monotone(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """By left position, those beyond the last kept on both sides."""
-    out: list[tuple[int, int]] = []
+def monotone(anchors: list[tuple[int, int]], n: int = ANCHOR_WORDS) -> list[tuple[int, int]]:
+    """By left position, those at least ``n`` words beyond the last kept on both sides; the start counts as one kept just before it."""
+    out, left, right = [], -1, -1
     for a, b in sorted(anchors):
-        if not out or a > out[-1][0] and b > out[-1][1]:
+        if a >= left + n and b >= right + n:
             out.append((a, b))
+            left, right = a, b
     return out
 
 
@@ -126,7 +127,7 @@ def align_words(a: list[str], b: list[str], n: int = ANCHOR_WORDS) -> list[tuple
     ga, gb = once(a), once(b)
     out: list[tuple[int, int]] = []
     i = j = 0
-    for x, y in [*monotone([(ga[g], gb[g]) for g in ga.keys() & gb.keys()]), (len(a), len(b))]:
+    for x, y in [*monotone([(ga[g], gb[g]) for g in ga.keys() & gb.keys()], n), (len(a), len(b))]:
         if x < i or y < j:
             continue
         out += [(i + p, j + q) for p, q in lcs(a[i:x], b[j:y])]
@@ -170,10 +171,14 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     return F.when(whole > 0, F.size(F.array_intersect(a, b)) / whole).otherwise(both_empty)
 
 
+def chars_of(c) -> Column:
+    """Distinct characters but white space."""
+    return F.array_distinct(F.filter(F.split(text(c), ""), lambda x: ~x.rlike(r"^\s*$")))
+
+
 def charset_jaccard(a: Column, b: Column) -> Column:
     """Over distinct characters but white space; 0 where a side is empty. Passes at 0.9."""
-    chars = lambda c: F.array_distinct(F.filter(F.split(text(c), ""), lambda x: ~x.rlike(r"^\s*$")))
-    x, y = chars(a), chars(b)
+    x, y = chars_of(a), chars_of(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(jaccard(x, y))
 
 
@@ -187,6 +192,23 @@ def dice_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
     return own.withColumn("dice", 2 * F.col("common") / (F.col("na") + F.col("nb")))
 
 
+def bag_common(a: Column, b: Column) -> Column:
+    """How many words two arrays share, each as often as it stands in both; for short ``b``, without a shuffle."""
+    often = lambda c, w: F.size(F.filter(c, lambda x: x == w))
+    return F.aggregate(F.array_intersect(b, a), F.lit(0), lambda n, w: n + F.least(often(a, w), often(b, w)))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Dice over bags of words; 0 of nothing."""
+    whole = F.size(a) + F.size(b)
+    return F.when(whole > 0, 2.0 * bag_common(a, b) / whole).otherwise(0.0)
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Both arrays hold the same values, however often and in whatever order."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
 def flow_tokens(c) -> Column:
     return F.filter(F.split(flow_text(c), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
@@ -206,7 +228,7 @@ def sentence_distance(a: Column, b: Column) -> Column:
 def find_quote(c, quote: Column, prefix: Column, suffix: Column) -> Column:
     """0-based place of a quote in its context, else of the quote; null where it is not."""
     t, q, p = text(c), text(quote), text(prefix)
-    near = F.locate_expr(t, F.concat(p, q, text(suffix))) if hasattr(F, "locate_expr") else F.position(F.concat(p, q, text(suffix)), t)
+    near = F.position(F.concat(p, q, text(suffix)), t)
     alone = F.position(q, t)
     return F.when(q == "", F.lit(None)).when(near > 0, near - 1 + F.length(p)).when(alone > 0, alone - 1)
 

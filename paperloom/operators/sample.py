@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 SEED, TARGET = 20260925, 1000
 FIELDS = ("ai", "math", "physics", "qbio", "med", "econ")
@@ -60,20 +62,19 @@ def allocated(rows: DataFrame, strata: Sequence[str], quota: int) -> DataFrame:
 
     Only counts by stratum reach the driver.
     """
-    sizes = {tuple(r[c] for c in strata): r["count"] for r in rows.groupBy(*strata).count().collect()}
+    sizes = [(tuple(r[c] for c in strata), r["count"]) for r in rows.groupBy(*strata).count().collect()]
 
-    def share(prefix: tuple, n: int) -> list[tuple]:
-        level = len(prefix)
+    def share(own: list, level: int, n: int) -> list[tuple]:
         if level == len(strata):
-            return [(*prefix, n)]
+            return [(*k, n) for k, _ in own]
         groups: dict = {}
-        for k, c in sizes.items():
-            if k[:level] == prefix:
-                groups[k[level]] = groups.get(k[level], 0) + c
-        return [x for k, m in allocate(groups, n).items() for x in share((*prefix, k), m)]
+        for k, c in own:
+            groups.setdefault(k[level], []).append((k, c))
+        quotas = allocate({k: sum(c for _, c in g) for k, g in groups.items()}, n)
+        return [x for k, m in quotas.items() for x in share(groups[k], level + 1, m)]
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in strata) + ", quota long"
-    return rows.sparkSession.createDataFrame(share((), quota), schema)
+    return rows.sparkSession.createDataFrame(share(sizes, 0, quota) if sizes else [], schema)
 
 
 def stratified(rows: DataFrame, strata: Sequence[str], quota: int, key: Sequence[str], seed: int = SEED, confidence: str | None = None) -> DataFrame:
@@ -87,7 +88,7 @@ def stratified(rows: DataFrame, strata: Sequence[str], quota: int, key: Sequence
     draw = F.pow(uniform(seed, *(F.col(k) for k in key)), 1 / w)
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(F.col("__u").desc(), *key))
     top = rows.withColumn("__u", draw).withColumn("__k", rank).where(F.col("__k") <= most)
-    return top.join(F.broadcast(shares), list(strata)).where("__k <= quota").drop("__u", "__k", "quota")
+    return top.join(shares, list(strata)).where("__k <= quota").drop("__u", "__k", "quota")
 
 
 def replay(units: pd.DataFrame, target: int = TARGET, seed: int = SEED) -> pd.DataFrame:
@@ -118,10 +119,35 @@ def replay(units: pd.DataFrame, target: int = TARGET, seed: int = SEED) -> pd.Da
     return pd.concat(chosen) if chosen else pool.head(0)
 
 
+#: Slices of a group over which ranks are carried.
+SLICES = 64
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``name``: the row's number inside its keys by ``order``, from 1.
+
+    Where the first order column is a number, a group is cut at its approximate quantiles and counts of slices are carried over, so one
+    task sorts a slice and not the group; rows of one value stay together, so the cuts need not be exact. Nulls come first.
+    """
+    first = order[0]
+    if not isinstance(rows.schema[first].dataType, NumericType):
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(first, [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    cuts = cuts.select(*(F.col(k).alias(f"__{k}") for k in keys), "__cuts")
+    below = F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(first))), F.lit(0))
+    own = rows.join(cuts, same).withColumn("__slice", F.when(F.col(first).isNull(), -1).otherwise(below)).drop("__cuts", *(f"__{k}" for k in keys))
+    counts = own.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+    placed = own.withColumn("__in", inside).join(carried, same & (F.col("__slice") == F.col("__s")))
+    return placed.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__before", "__in", "__slice", "__s", *(f"__{k}" for k in keys))
+
+
 def review_queue(units: DataFrame, outer: str = "field", inner: str = "paperId", order: Sequence[str] = ("confidence", "page", "unitId")) -> DataFrame:
     """Interleaved round the outer groups, inside them round the inner groups, inside those by confidence: a position for each row."""
-    w1 = Window.partitionBy(outer, inner).orderBy(*order)
-    own = units.withColumn("__a", F.row_number().over(w1))
+    own = ranked(units, [outer, inner], order, "__a")
     # a round holds one row of each inner group at most, so rounds are counted and only inside them rows are ranked
     rounds = own.groupBy(outer, "__a").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(outer).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)

@@ -97,7 +97,7 @@ def judgment_summary(results: DataFrame) -> DataFrame:
 
 def ab_summary(rows: DataFrame, arms: DataFrame, channels: DataFrame) -> DataFrame:
     """Counts by arm, provider and model, groups without rows as zeros; rates only over measured rows."""
-    spine = F.broadcast(arms.select("arm")).join(channels.select("provider", "model"))
+    spine = arms.select("arm").crossJoin(channels.select("provider", "model"))  # every group, with rows or not
     m = F.coalesce("measured", F.lit(False))
     of = lambda c: F.count_if(m & F.coalesce(F.col(c), F.lit(False)))
     own = rows.groupBy("arm", "provider", "model").agg(
@@ -138,12 +138,11 @@ def rebuild_units(elements: DataFrame) -> DataFrame:
 
 
 def review_status(units: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """By paper and page: units, uncertain ones, and whether the page is reviewed; most uncertain first."""
+    """By paper and page: units, uncertain ones, and whether the page is reviewed."""
     seen = reviewed.select("paper", "page").distinct().withColumn("seen", F.lit(True))
     return (
         units.groupBy("paper", "page").agg(F.count("*").alias("units"), F.count_if(F.col("confidence") < UNCERTAIN_CONFIDENCE).alias("uncertain"))
         .join(seen, ["paper", "page"], "left").withColumn("reviewed", F.coalesce("seen", F.lit(False))).drop("seen")
-        .orderBy(F.desc("uncertain"), "paper", "page")
     )
 
 
@@ -240,9 +239,16 @@ def leak_bar(scan: DataFrame, sample: DataFrame, leaks: int = 20, papers: int =
     return out.withColumn("passes", (F.col("leaks") <= leaks) & (F.col("leaky") <= papers) & (F.col("missing") == 0))
 
 
-def markdown_table(rows: DataFrame) -> str:
-    """A small result as a Markdown table."""
-    cells = [rows.columns, ["---"] * len(rows.columns), *([("" if v is None else str(v)) for v in r] for r in rows.collect())]
+#: Rows of a Markdown table at most.
+TABLE_ROWS = 1000
+
+
+def markdown_table(rows: DataFrame, most: int = TABLE_ROWS) -> str:
+    """A small result as a Markdown table; more than ``most`` rows are an error, as a report is no place for them."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a table of over {most} rows")
+    cells = [rows.columns, ["---"] * len(rows.columns), *([("" if v is None else str(v)) for v in r] for r in got)]
     return "\n".join("| " + " | ".join(r) + " |" for r in cells)
 
 
@@ -317,3 +323,55 @@ def tier_counts(formulas: DataFrame) -> DataFrame:
     """Formulas of a document by bucket of their tier."""
     bucket = F.when(F.col("status") == "pending", "pending").when(F.col("tier").isin("source", "arxiv"), "source").when(F.col("tier") == "crop", "crop").otherwise("model")
     return formulas.groupBy("docHash", bucket.alias("bucket")).count()
+
+
+def status_order(status: DataFrame) -> DataFrame:
+    """Pages to review: most uncertain units first, then by paper and page."""
+    return status.orderBy(F.desc("uncertain"), "paper", "page")
+
+
+def units_for_manifest(units: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The units that a manifest (n, queueIndex: places in the queue from 1) names, in its order; places beyond the queue are dropped.
+
+    ``units`` has ``queue``, the place from 1.
+    """
+    return manifest.join(units, F.col("queueIndex") == F.col("queue")).drop("queue").orderBy("n")
+
+
+def audit_window(queue: DataFrame, confirmed: DataFrame, limit: int | None = None, key: Sequence[str] = ("paperId", "page", "unitId")) -> DataFrame:
+    """The first ``limit`` of the queue (queue: the place from 1), else all up to the last confirmed one; ``confirmed`` tells which are."""
+    own = queue.join(confirmed.select(*key).distinct().withColumn("__hit", F.lit(True)), list(key), "left")
+    own = own.withColumn("confirmed", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    if limit is not None:
+        return own.where(F.col("queue") <= limit)
+    last = own.where("confirmed").agg(F.coalesce(F.max("queue"), F.lit(0))).first()[0]  # one number
+    return own.where(F.col("queue") <= last)
+
+
+def text_coverage(model: DataFrame, layer: DataFrame, gap: str, key: str = "page") -> DataFrame:
+    """By page: characters of the model's blocks over those of the text layer, white space and gap marks aside; 1 without a text layer."""
+    bare = lambda c: F.regexp_replace(F.replace(c, F.lit(gap), F.lit("")), r"\s+", "")
+    shown = F.coalesce(F.nullif("text", F.lit("")), F.col("latex"), F.lit("")) if "latex" in model.columns else text("text")
+    m = model.groupBy(key).agg(F.sum(F.length(bare(shown))).alias("m"))
+    t = layer.groupBy(key).agg(F.sum(F.length(bare(text("text")))).alias("t"))
+    ratio = F.when(F.coalesce("t", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("m", F.lit(0)) / F.col("t"))
+    return t.join(m, key, "full_outer").select(key, ratio.alias("coverage"))
+
+
+#: Least share of characters that a candidate and its source have in common.
+CHARSET_BAR = 0.9
+
+
+def verify_candidate(latex: Column, source: Column, unknown: Column, charset: Column) -> Column:
+    """(pass, reason, confidence) of a candidate's characters (``charset``: array, ``unknown``: its commands that no table holds) against the
+    text of its source. The drawing itself is not checked."""
+    from .match import chars_of, jaccard
+
+    theirs = chars_of(source)
+    j = F.when((F.size(charset) == 0) | (F.size(theirs) == 0), 0.0).otherwise(jaccard(charset, theirs))
+    reason = (
+        F.when(F.size(unknown) > 0, "unknown-command").when(F.size(charset) == 0, "charset-mismatch").when(F.size(theirs) == 0, "uncheckable-glyph")
+        .when(j < CHARSET_BAR, "charset-mismatch")
+    )
+    sure = F.when((F.size(unknown) > 0) | (F.size(charset) == 0) | (F.size(theirs) == 0), 0.0).otherwise(j)
+    return F.struct(reason.isNull().alias("pass"), reason.alias("reason"), sure.alias("confidence"))

@@ -6,7 +6,7 @@ writing them is the caller's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,8 +148,17 @@ def tally(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return outcomes.groupBy(*by).agg(*each)
 
 
-def put(rows: DataFrame, records: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Upsert: records replace rows of their key."""
+def put(
+    rows: DataFrame, records: DataFrame, key: Sequence[str], accept: Column | None = None, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Upsert: records replace rows of their key.
+
+    ``accept`` keeps records out by a predicate; ``combine`` makes the records to write from the stored rows of their keys and
+    the records, as page writes do that merge pairs.
+    """
+    records = records if accept is None else records.where(accept)
+    if combine is not None:
+        records = combine(rows.join(records.select(*key).distinct(), list(key), "left_semi"), records)
     return rows.join(records.select(*key), list(key), "left_anti").unionByName(records, allowMissingColumns=True)
 
 
@@ -264,7 +273,7 @@ def repair_papers(papers: DataFrame, pages: DataFrame) -> DataFrame:
 
 def set_deleted(notes: DataFrame, ids: DataFrame, at: int | None) -> DataFrame:
     """Soft delete (a time) or restore (None) of notes by id."""
-    hit = notes.join(F.broadcast(ids.select("id").distinct().withColumn("__hit", F.lit(True))), "id", "left")
+    hit = notes.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
     when = F.lit(at).cast("long")
     return hit.withColumn("deletedAt", F.when(F.col("__hit"), when).otherwise(F.col("deletedAt"))).withColumn("rev", F.col("rev") + F.when(F.col("__hit"), 1).otherwise(0)).drop("__hit")
 
@@ -380,3 +389,45 @@ def pin(notes: DataFrame, ranks: dict[str, int]) -> DataFrame:
     rank = F.coalesce(F.create_map(*(x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")], F.lit(-1))
     own = live(notes).groupBy("docHash", "bid").agg(F.max_by("kind", F.struct(rank, F.col("id"))).alias("kind"), F.count("*").alias("n"))
     return own.select("docHash", "bid", "kind", F.when(F.col("n") >= 2, F.col("n")).alias("count"))
+
+
+def touch_documents(notes: DataFrame) -> DataFrame:
+    """Notes that are not in the trash by document; documents whose notes all are have none left."""
+    return notes.groupBy("docHash").agg(F.count_if(F.col("deletedAt").isNull()).alias("notesCount"))
+
+
+def notes_by_place(notes: DataFrame) -> DataFrame:
+    """Live notes as ``placed`` or ``lost``, by the state of their anchor."""
+    return live(notes).withColumn("list", F.when(F.col("anchorState.status") == "lost", "lost").otherwise("placed"))
+
+
+def due_items(items: DataFrame, now: int) -> DataFrame:
+    """Study items whose next review has come."""
+    return items.where(F.col("nextReview") <= now)
+
+
+def done_union(local: DataFrame, incoming: DataFrame, key: str = "key", docs: str = "doneDocs") -> DataFrame:
+    """Sets of completed documents of both sides as one, in order and without repeats."""
+    none = F.array().cast(local.schema[docs].dataType)
+    other = incoming.select(key, F.col(docs).alias("__more"))
+    joined = local.join(other, key, "full_outer")
+    return joined.select(key, F.array_sort(F.array_union(F.coalesce(docs, none), F.coalesce("__more", none))).alias(docs))
+
+
+def import_next(source: DataFrame, cursor: str | None, n: int, key: str = "docHash") -> tuple[DataFrame, DataFrame]:
+    """The next ``n`` documents after a cursor, whole, and the cursor to go on from.
+
+    Documents come in order of their key, so a run that broke off goes on at the document after the last one that it finished, and a batch that
+    is written again by key changes nothing. An empty batch ends the import.
+    """
+    left = source if cursor is None else source.where(F.col(key) > cursor)
+    batch = left.select(key).distinct().orderBy(key).limit(n)
+    return left.join(batch, key, "left_semi"), batch.agg(F.max(key).alias("cursor"))
+
+
+def bounded_cache(entries: DataFrame, limit: int, now: int | None = None, ttl: int | None = None) -> DataFrame:
+    """Of entries (key, at, ...) the last written of each key, not older than ``ttl``, and of those the newest ``limit`` by time, then key."""
+    last = entries.groupBy("key").agg(F.max_by(F.struct(*entries.columns), "at").alias("e")).select("e.*")
+    if ttl is not None:
+        last = last.where(F.col("at") > now - ttl)
+    return last.orderBy(F.desc("at"), "key").limit(limit)

@@ -31,20 +31,91 @@ def needing(units: DataFrame, script: str = "han") -> DataFrame:
 
 
 def paint(blocks: DataFrame, results: DataFrame) -> DataFrame:
-    """Translations onto blocks by bid, else by id for rows without one; others are dropped, empty ones clear nothing unless they failed."""
-    r = results.select("bid", "id", tx.text("translation").alias("t"), F.coalesce("failed", F.lit(False)).alias("f"))
-    by_bid = r.where("bid <> ''").groupBy("bid").agg(F.last(F.struct("t", "f")).alias("rb"))
-    by_id = r.where("coalesce(bid, '') = '' and id <> ''").groupBy("id").agg(F.last(F.struct("t", "f")).alias("ri"))
+    """Translations onto blocks by bid, else by id for rows without one; others are dropped, empty ones clear nothing unless they failed.
+
+    Of several results for one key the last by ``ord`` holds where there is such a column, then the greatest text.
+    """
+    ord_ = F.col("ord") if "ord" in results.columns else F.lit(0)
+    r = results.select("bid", "id", F.struct(ord_.alias("ord"), tx.text("translation").alias("t"), F.coalesce("failed", F.lit(False)).alias("f")).alias("r"))
+    by_bid = r.where("bid <> ''").groupBy("bid").agg(F.max("r").alias("rb"))
+    by_id = r.where("coalesce(bid, '') = '' and id <> ''").groupBy("id").agg(F.max("r").alias("ri"))
     j = blocks.join(by_bid, "bid", "left").join(by_id, "id", "left")
     hit = F.coalesce("rb", "ri")
     can = is_translatable(F.col("label"), F.col("text"), F.col("skip")) & hit.isNotNull() & ~((hit["t"] == "") & (tx.text("translation") != "") & ~hit["f"])
     return j.withColumn("translation", F.when(can, hit["t"]).otherwise(F.col("translation"))).drop("rb", "ri")
 
 
+def paint_aliases(blocks: DataFrame, results: DataFrame, script: str = "han") -> DataFrame:
+    """As ``paint``, but a block (bid, aliases, id) also takes results that name an alias, and of all its results the first that landed, else the first.
+
+    Order: its own bid, its aliases as listed, its id for results without a bid. A source that was handed back under the own bid thus
+    does not hide a translation stored under an alias.
+    """
+    ord_ = F.col("ord") if "ord" in results.columns else F.lit(0)
+    one = F.struct(ord_.alias("ord"), tx.text("translation").alias("t"), F.coalesce("failed", F.lit(False)).alias("f"))
+    named = results.where("bid <> ''").groupBy(F.col("bid").alias("key")).agg(F.max(one).alias("r")).withColumn("kind", F.lit("bid"))
+    by_id = results.where("coalesce(bid, '') = '' and id <> ''").groupBy(F.col("id").alias("key")).agg(F.max(one).alias("r")).withColumn("kind", F.lit("id"))
+    own = blocks.withColumn("__row", F.struct(*blocks.columns))
+    bids = F.filter(F.array_distinct(F.concat(F.array(tx.text("bid")), F.coalesce("aliases", F.array().cast("array<string>")))), lambda b: F.coalesce(b, F.lit("")) != "")
+    keys = F.concat(F.transform(bids, lambda b, i: F.struct(i.alias("k"), F.lit("bid").alias("kind"), b.alias("key"))), F.array(F.struct(F.lit(1 << 20).alias("k"), F.lit("id").alias("kind"), tx.text("id").alias("key"))))
+    hits = own.select("__row", F.inline(keys)).join(named.unionByName(by_id), ["kind", "key"])
+    late = ~F.coalesce(tx.landed(F.col("r.t"), F.col("__row.text"), script), F.lit(False))
+    best = hits.groupBy("__row").agg(F.min_by("r", F.struct(late, F.col("k"))).alias("hit"))
+    b, hit = own.join(best, "__row", "left"), F.col("hit")
+    can = is_translatable(F.col("label"), F.col("text"), F.col("skip")) & hit.isNotNull() & ~((hit["t"] == "") & (tx.text("translation") != "") & ~hit["f"])
+    return b.withColumn("translation", F.when(can, hit["t"]).otherwise(F.col("translation"))).drop("hit", "__row")
+
+
+def invalidate_page(pairs: DataFrame, layouts: DataFrame, blocks: DataFrame, protocol: str) -> tuple[DataFrame, DataFrame]:
+    """What stays of pairs and layouts (docHash, page, ...) when the ``blocks`` of some pages take their place; other pages stay whole.
+
+    A pair stays whose bid or alias is a live block of the page with the same source and that is no echo; a layout of the current protocol that names the
+    same blocks in the same order (``bids``).
+    """
+    page = ["docHash", "page"]
+    live = blocks.select(*page, F.explode(F.array_union(F.array("bid"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("bid"), ids.reuse_key("text").alias("k"))
+    touched = blocks.select(*page).distinct()
+    own = pairs.withColumn("k", ids.reuse_key("text"))
+    kept = own.join(live, [*page, "bid", "k"], "left_semi").where(~tx.is_echo(F.col("translation"), F.col("text")))
+    pairs = own.join(touched, page, "left_anti").unionByName(kept).drop("k")
+    order = blocks.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "bid"))), lambda x: x["bid"]).alias("bids"))
+    same = layouts.where(F.col("protocol") == protocol).join(order, [*page, "bids"], "left_semi")
+    return pairs, layouts.join(touched, page, "left_anti").unionByName(same.select(*layouts.columns))
+
+
+def remap_slots(live: Column, prior: Column, translation: Column) -> Column:
+    """(kind, translation) of a reused translation whose placeholders are those of ``prior``, for the placeholders of ``live``: arrays of (token, formula).
+
+    ``keep`` where the tokens agree or there are none, ``remapped`` where each names a live one, ``retranslate`` else. First by place, where
+    formulas agree or hold one another; then by formula, where each stands once. Tokens are swapped at once, so none is taken for another.
+    """
+    tokens = tx.placeholders(translation)
+    size = F.size(live)
+    formula = lambda t, i: F.coalesce(F.try_element_at(F.filter(prior, lambda p: p["token"] == t), F.lit(1))["formula"], F.try_element_at(prior, i + 1)["formula"], F.lit(""))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    agrees = lambda a, b: (a == "") | (b == "") | a.contains(b) | b.contains(a)
+    by_place = (F.size(tokens) == size) & ~F.exists(
+        F.transform(tokens, lambda t, i: agrees(bare(formula(t, i)), bare(F.try_element_at(live, i + 1)["formula"]))), lambda ok: ~ok
+    )
+    match = lambda t: F.filter(live, lambda s: s["formula"] == F.try_element_at(F.filter(prior, lambda p: p["token"] == t), F.lit(1))["formula"])
+    mapped = F.transform(tokens, lambda t: F.when(F.size(match(t)) == 1, F.try_element_at(match(t), F.lit(1))["token"]))
+    by_formula = ~F.exists(mapped, lambda t: t.isNull()) & (F.size(F.array_distinct(mapped)) == size) & (F.size(tokens) == size)
+    target = F.when(by_place, F.transform(live, lambda s: s["token"])).when(by_formula, mapped)
+    # the text between tokens, then token and text in turn
+    parts = F.split(translation, tx.PLACEHOLDER, -1)
+    text = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(target, i + 1), F.lit("")))), "")
+    same = F.transform(live, lambda s: s["token"])
+    kind = (
+        F.when((F.size(tokens) == 0) | (tokens == same), "keep").when(size == 0, "retranslate")
+        .when(target.isNotNull() & (target == same), "remapped").otherwise("retranslate")
+    )
+    return F.struct(kind.alias("kind"), F.when(kind == "remapped", text).alias("translation"))
+
+
 def pair_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests (req, pos, bid) with their answer (req, pos, bid, translation): the first of a bid, by position where unkeyed."""
-    keyed = responses.where("bid <> ''").groupBy("req", "bid").agg(F.min_by("translation", "pos").alias("kt"))
-    plain = responses.where("coalesce(bid, '') = ''").groupBy("req", "pos").agg(F.first("translation").alias("pt"))
+    keyed = responses.where("bid <> ''").groupBy("req", "bid").agg(F.min(F.struct("pos", "translation")).alias("kt")).withColumn("kt", F.col("kt.translation"))
+    plain = responses.where("coalesce(bid, '') = ''").groupBy("req", "pos").agg(F.min("translation").alias("pt"))
     return requests.join(keyed, ["req", "bid"], "left").join(plain, ["req", "pos"], "left").withColumn("translation", F.coalesce("kt", "pt")).drop("kt", "pt")
 
 
@@ -69,11 +140,11 @@ def memory(pairs: DataFrame) -> DataFrame:
 def reuse(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """Saved translations for units: by bid with an equal source, then sourceId, then a source without conflict; ``how`` tells which.
 
-    A bid whose source changed is ``changed`` and gives nothing.
+    A bid whose source changed is ``changed`` and gives nothing. Of several pairs of a bid the least translation counts.
     """
     own = units.withColumn("key", ids.reuse_key("text"))
     p = pairs.where(tx.collapse("translation") != "").withColumn("key", ids.reuse_key("text"))
-    b = p.where("bid <> ''").groupBy("bid").agg(F.first("translation").alias("bt"), F.first("key").alias("bk"))
+    b = p.where("bid <> ''").groupBy("bid").agg(F.min(F.struct("translation", "key")).alias("b")).select("bid", F.col("b.translation").alias("bt"), F.col("b.key").alias("bk"))
     s = p.where("sourceId <> ''").groupBy("sourceId", "key").agg(F.min("translation").alias("st"), F.countDistinct("translation").alias("sn")).where("sn = 1").drop("sn")
     m = memory(pairs).where("not conflict").select("key", F.col("translation").alias("mt"))
     j = own.join(b, "bid", "left").join(s, ["sourceId", "key"], "left").join(m, "key", "left")
@@ -137,3 +208,14 @@ def run(units: DataFrame, pairs: DataFrame, model: Callable[[list[str]], list[st
     own = hits.withColumn("key", ids.reuse_key("text")).join(new, "key", "left")
     done = F.when(F.col("reused").isNotNull(), F.col("how")).when(tx.text("drafted") != "", "model")
     return own.withColumn("how", done).withColumn("translation", F.coalesce("reused", F.nullif("drafted", F.lit("")))).drop("key", "drafted", "reused")
+
+
+#: Models by name: callables that take a list of texts and give as many.
+PROVIDERS: dict[str, Callable[[list[str]], list[str]]] = {"stub": stub}
+
+
+def provider(name: str) -> Callable[[list[str]], list[str]]:
+    """The registered model of that name; the callable itself goes to the workers."""
+    if name not in PROVIDERS:
+        raise KeyError(f"no model named {name!r}; known: {sorted(PROVIDERS)}")
+    return PROVIDERS[name]

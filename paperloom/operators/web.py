@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse, text
 
@@ -162,3 +164,78 @@ def limit_blocks(blocks: DataFrame, mode, id_col: str = "page_id") -> DataFrame:
     rest = F.when(~F.col("__h"), F.when(body, 0).otherwise(1))
     best = best.withColumn("__b", F.row_number().over(Window.partitionBy(id_col).orderBy(rest.asc_nulls_last(), "ord")))
     return best.where("__h or (__b = 1)").drop("__h", "__b")
+
+
+def pick_preset(url: Column, presets: list[tuple[str, str]]) -> Column:
+    """The first preset (name, pattern of hosts) that a URL's host fits; null without."""
+    h = host(url)
+    return F.coalesce(*(F.when(h.rlike(p), F.lit(n)) for n, p in presets)) if presets else F.lit(None).cast("string")
+
+
+# --- fixed values: what stays of HTML in notes ----------------------------------------------------
+KEPT_TAGS = (
+    "a", "blockquote", "br", "code", "del", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "ol", "p", "pre", "strong", "sub", "sup", "table", "tbody",
+    "td", "th", "thead", "tr", "ul",
+)
+SAFE_URL = r"^(?:https?:|mailto:|#|/(?!/))"
+# --------------------------------------------------------------------------------------------------
+
+
+class _Sanitizer(HTMLParser):
+    """Kept tags with their safe attributes; all other tags as escaped text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+
+    def safe(self, tag: str, attrs) -> str:
+        own = ""
+        for name, value in attrs:
+            value = (value or "").strip()
+            if tag == "a" and name == "href" and re.match(SAFE_URL, value, re.I) and not re.search(r"[\x00-\x20\x7f]", value):
+                own += f' href="{escape(value)}"'
+            elif tag == "a" and name == "title" and value and not re.search(r"[\x00-\x1f\x7f]", value):
+                own += f' title="{escape(value)}"'
+            elif tag == "code" and name == "class" and re.fullmatch(r"language-[A-Za-z0-9_+-]+", value):
+                own += f' class="{value}"'
+            elif tag == "ol" and name == "start" and re.fullmatch(r"\d{1,9}", value):
+                own += f' start="{value}"'
+        return own
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append(f"<{tag}{self.safe(tag, attrs)}>" if tag in KEPT_TAGS else escape(self.get_starttag_text(), quote=False))
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        self.out.append(f"</{tag}>" if tag in KEPT_TAGS else f"&lt;/{tag}&gt;")
+
+    def handle_data(self, data):
+        self.out.append(escape(data, quote=False))
+
+    def handle_entityref(self, name):
+        self.out.append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.out.append(f"&#{name};")
+
+    def handle_comment(self, data):
+        self.out.append(f"&lt;!--{escape(data, quote=False)}--&gt;")
+
+    def handle_decl(self, decl):
+        self.out.append(f"&lt;!{escape(decl, quote=False)}&gt;")
+
+    handle_pi = unknown_decl = handle_decl
+
+
+def sanitized(html: str | None) -> str:
+    p = _Sanitizer()
+    p.feed(html or "")
+    p.close()
+    return "".join(p.out)
+
+
+@F.pandas_udf(T.StringType())
+def sanitize_html(s: pd.Series) -> pd.Series:
+    """HTML of notes with only kept tags and safe attributes."""
+    return s.map(sanitized)

@@ -36,26 +36,24 @@ def blocks(spark, sf_dir):
 
 @query(
     """
-    SELECT lang, source, GROUPING(lang) AS g_lang, count(*) AS docs, count(l.doc_id) AS labelled,
-           coalesce(sum(quality), 0)::BIGINT AS good, coalesce(sum(toxic), 0)::BIGINT AS toxic,
-           CASE WHEN count(l.doc_id) = 0 THEN 0.0 ELSE floor(coalesce(sum(quality), 0) * 1000.0 / count(l.doc_id) + 0.5) / 1000 END AS good_rate,
-           floor(sum(n_chars) * 1000.0 / count(*) + 0.5) / 1000 AS mean_chars
-    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((lang), (source))
+    WITH p AS (SELECT lang, source, count(*) AS pages, count(l.doc_id) AS units, coalesce(sum(quality), 0)::BIGINT AS correct, coalesce(sum(toxic), 0)::BIGINT AS conflicts, sum(n_chars)::BIGINT AS "svgBytes"
+               FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, source),
+    g AS (SELECT CASE WHEN GROUPING(lang) = 0 THEN 'field' ELSE 'sourceType' END AS grouped_by, coalesce(lang, source) AS value, sum(pages)::BIGINT AS pages, sum(units)::BIGINT AS units, sum(correct)::BIGINT AS correct,
+                 sum(conflicts)::BIGINT AS conflicts, sum("svgBytes")::BIGINT AS "svgBytes" FROM p GROUP BY GROUPING SETS ((lang), (source)))
+    SELECT *, CASE WHEN units = 0 THEN 0.0 ELSE floor(correct * 1.0 / units * 1000 + 0.5) / 1000 END AS exact FROM g
     """
 )
 def scorecard_grouping_sets(spark, sf_dir):
+    """Labels stand in for pages that were checked: good ones are correct units, toxic ones conflicts, characters bytes."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     l = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
-    own = d.join(l, d.doc_id == l.l_id, "left")
-    g = own.groupingSets([[F.col("lang")], [F.col("source")]], F.col("lang"), F.col("source")).agg(
-        F.grouping("lang").cast("long").alias("g_lang"), F.count("*").alias("docs"), F.count("l_id").alias("labelled"),
-        F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("toxic"),
-        F.sum("n_chars").alias("chars"),
-    )
-    return g.select(
-        "lang", "source", "g_lang", "docs", "labelled", "good", "toxic", score.rate(F.col("good"), F.col("labelled")).alias("good_rate"),
-        score.round3(F.col("chars") / F.col("docs")).alias("mean_chars"),
+    none = lambda c: F.coalesce(c, F.lit(0))
+    own = d.join(l, d.doc_id == l.l_id, "left").select(
+        F.col("lang").alias("field"), F.col("source").alias("sourceType"), F.lit(1).alias("pages"), F.when(F.col("l_id").isNotNull(), 1).otherwise(0).alias("units"),
+        none("quality").alias("correct"), none("toxic").alias("conflicts"), F.col("n_chars").alias("svgBytes"), F.lit(0.0).alias("jaccard"),
     )
+    papers = score.paper_scores(own, ["field", "sourceType"]).drop("jaccardSum")
+    return score.grouped_scores(papers)
 
 
 @query(

@@ -189,7 +189,7 @@ def changed_lines(spark, sf_dir):
 
 @query(
     """
-    WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (event_id % 6)::DOUBLE AS q FROM events WHERE event_id % 6 <> 4),
+    WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (event_id % 6)::DOUBLE AS q FROM events),
     s AS (
       SELECT user_id, 0::BIGINT AS k, 0 AS reps, 2.5::DOUBLE AS ease, 0.0::DOUBLE AS interval FROM (SELECT DISTINCT user_id FROM g)
       UNION ALL
@@ -201,7 +201,7 @@ def changed_lines(spark, sf_dir):
     """
 )
 def srs_fold(spark, sf_dir):
-    own = table(spark, sf_dir, "events").where("event_id % 6 <> 4").select("user_id", "event_id", (F.col("event_id") % 6).alias("q"))
+    own = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 6).alias("q"))
     g = own.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "q"))), lambda x: x["q"]).alias("grades"))
     s = g.select("user_id", text.review_fold(F.col("grades")).alias("s"))
     return s.select("user_id", "s.reps", score.round3(F.col("s.ease")).alias("ease"), F.col("s.interval").alias("interval"))

@@ -30,4 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXTS else df
 
 
-from . import document_queries, event_queries, layout_queries, match_queries, store_queries  # noqa: E402, F401
+from . import (  # noqa: E402, F401
+    document_queries, event_queries, geometry_queries, layout_queries, match_queries, record_queries, store_queries, text_queries,
+)
