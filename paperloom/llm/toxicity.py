@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from .common import bound_batches, hold_out, id_and_text
 
 #: Labelled rows that the index is fitted on at most: those of the smallest hash of their id.
-EXAMPLES = 6000
+EXAMPLES = 4000
 NEIGHBOURS = 20
 BLOCK = 64
 #: Blocks that are scored before bounds are first held against the k-th cosine.
 FIRST_BLOCKS = 16
 #: Terms that stand in most examples: their postings are full columns, multiplied for ``TOGETHER`` texts at once; a block's bound holds
 #: their exact part.
-COMMON, TOGETHER = 1024, 128
+COMMON, TOGETHER = 512, 128
 #: Weight of the overall rate among a vote's neighbours.
 PRIOR_WEIGHT = 1.0
 #: A term's idf is multiplied by this and by how many standard errors it is commoner in toxic examples, where it is;
@@ -226,9 +226,10 @@ def _chosen(labels: DataFrame, examples: int, id_col: str) -> DataFrame:
     return labels.sparkSession.createDataFrame(chosen.collect(), "own_id long, toxic int")  # bounded by ``examples``
 
 
-def _examples(own: DataFrame, chosen: DataFrame) -> list:
-    """(own_id, toxic, terms, counts) of the chosen documents, read one partition after another; of several rows of one id
-    that of the smallest digest, so there are no more than chosen ids."""
+def _examples(own: DataFrame, chosen: DataFrame) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], list[str]]:
+    """(own_id, toxic, numbers of terms, counts) of the chosen documents, and the terms in order; read one partition after another, so that
+    the driver holds numbers and each term once. Of several rows of one id that of the smallest digest counts, so there are no more than
+    chosen ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,7 +243,20 @@ def _examples(own: DataFrame, chosen: DataFrame) -> list:
     sample = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).select("own_id", "toxic", "text")
     counted = sample.mapInArrow(run, "own_id long, toxic int, digest binary, terms array<string>, counts array<long>")
     one = counted.groupBy("own_id").agg(F.min(F.struct("digest", "toxic", "terms", "counts")).alias("e"))
-    return [(r["own_id"], r["e"]["toxic"], r["e"]["terms"], r["e"]["counts"]) for r in one.toLocalIterator()]
+    number: dict[str, int] = {}
+    found = []
+    for r in one.toLocalIterator():
+        t = np.array([number.setdefault(x, len(number)) for x in r["e"]["terms"]], np.int32)
+        found.append((r["own_id"], r["e"]["toxic"], t, np.array(r["e"]["counts"], np.int32)))
+    names = sorted(number)
+    place = np.empty(len(names), np.int32)
+    for k, x in enumerate(names):
+        place[number[x]] = k
+    ordered = []
+    for i, y, t, c in found:
+        by = np.argsort(place[t])
+        ordered.append((i, y, place[t][by], c[by]))
+    return ordered, names
 
 
 def _frequencies(own: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -271,11 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     """The index over every term of at most ``examples`` labelled documents that are not held out: those of the smallest
     hash of their id; of several labels of one id the greatest holds. Document frequencies are counted over all documents."""
     own = id_and_text(docs, id_col, text_col)
-    found = _examples(own, _chosen(labels, examples, id_col))
-    names = sorted({x for _, _, t, _ in found for x in t})
-    number = {x: k for k, x in enumerate(names)}
-    df, total = _frequencies(own, number)
-    return Index(names, df, total, [(i, y, np.array([number[x] for x in t], np.int64), np.array(c, np.int64)) for i, y, t, c in found])
+    found, names = _examples(own, _chosen(labels, examples, id_col))
+    df, total = _frequencies(own, {x: k for k, x in enumerate(names)})
+    return Index(names, df, total, found)
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
