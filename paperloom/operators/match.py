@@ -192,18 +192,6 @@ def dice_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
     return own.withColumn("dice", 2 * F.col("common") / (F.col("na") + F.col("nb")))
 
 
-def bag_common(a: Column, b: Column) -> Column:
-    """How many words two arrays share, each as often as it stands in both; for short ``b``, without a shuffle."""
-    often = lambda c, w: F.size(F.filter(c, lambda x: x == w))
-    return F.aggregate(F.array_intersect(b, a), F.lit(0), lambda n, w: n + F.least(often(a, w), often(b, w)))
-
-
-def dice(a: Column, b: Column) -> Column:
-    """Dice over bags of words; 0 of nothing."""
-    whole = F.size(a) + F.size(b)
-    return F.when(whole > 0, 2.0 * bag_common(a, b) / whole).otherwise(0.0)
-
-
 def same_set(a: Column, b: Column) -> Column:
     """Both arrays hold the same values, however often and in whatever order."""
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
