@@ -109,3 +109,9 @@ def test_boxes(spark):
     a, b = F.col("a"), F.col("b")
     r = df.select(geometry.iou(a, b), geometry.overlap_ratio(a, b), geometry.holds_centre(a, b), geometry.union(a, b), geometry.upper_median(F.array(*map(F.lit, [4, 1, 3, 2])))).first()
     assert (round(r[0], 4), r[1], r[2], tuple(r[3]), r[4]) == (0.1429, 0.25, True, (0.0, 0.0, 3.0, 3.0), 3)
+
+
+def test_years_of_other_than_four_digits(spark):
+    shown = text.relative_time(F.make_timestamp(F.col("y"), F.lit(12), F.lit(31), F.lit(1), F.lit(2), F.lit(3)), F.to_timestamp(F.lit("2024-03-10 15:00:00")))
+    df = spark.createDataFrame([(-5, ), (0, ), (75, ), (1904, ), (12024, )], "y int")
+    assert [r["r"] for r in df.select(shown.alias("r")).collect()] == ["-5-12-31", "0000-12-31", "0075-12-31", "1904-12-31", "12024-12-31"]
