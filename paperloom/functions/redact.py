@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import text
+from .text import EDGE, text
 
 # --- fixed values: names that mark a secret -------------------------------------------------------
 SECRET_QUERY_KEYS = (
@@ -29,8 +29,8 @@ def redact(c) -> Column:
     """Masks user info of URLs, keys, bearer values, one vendor's header and key parameters, in that order."""
     t = F.regexp_replace(text(c), r"//[^/\s@]*:[^/\s@]+@", "//***:***@")
     t = F.regexp_replace(t, r"sk-[A-Za-z0-9_-]+", "***")
-    t = F.regexp_replace(t, r"(?i)\bBearer\s+\S+", "Bearer ***")
-    t = F.regexp_replace(t, r"(?i)\bDeepL-Auth-Key\s+\S+", "DeepL-Auth-Key ***")
+    t = F.regexp_replace(t, rf"(?i){EDGE}Bearer\s+\S+", "Bearer ***")
+    t = F.regexp_replace(t, rf"(?i){EDGE}DeepL-Auth-Key\s+\S+", "DeepL-Auth-Key ***")
     keys = r"(?i)([?&#](?:x[-_]?api[-_]?key|api[-_]?key|access[-_]?(?:token|key)|token|secret|key)=)[^&\s#]+"
     return F.regexp_replace(t, keys, "$1***")
 

@@ -115,3 +115,10 @@ def test_years_of_other_than_four_digits(spark):
     shown = text.relative_time(F.make_timestamp(F.col("y"), F.lit(12), F.lit(31), F.lit(1), F.lit(2), F.lit(3)), F.to_timestamp(F.lit("2024-03-10 15:00:00")))
     df = spark.createDataFrame([(-5, ), (0, ), (75, ), (1904, ), (12024, )], "y int")
     assert [r["r"] for r in df.select(shown.alias("r")).collect()] == ["-5-12-31", "0000-12-31", "0075-12-31", "1904-12-31", "12024-12-31"]
+
+
+def test_edges_of_words_are_ascii(spark):
+    assert one(spark, text.leak_counts("c0")["c"], "Dürst ürst xrst rstä, arst") == 3
+    assert one(spark, text.repair_ligatures("c0"), "Dürst xrst rstä") == "Düfirst xrst firstä"
+    assert one(spark, text.is_metadata("c0"), "copyrightä 2020") is True
+    assert one(spark, redact.redact("c0"), "äBearer abc") == "äBearer ***"
