@@ -120,38 +120,44 @@ def replay(units: pd.DataFrame, target: int = TARGET, seed: int = SEED) -> pd.Da
 
 
 #: Slices of a group over which ranks are carried.
-SLICES = 64
+SLICES = 4096
 
 
-def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, nulls_last: bool = False) -> DataFrame:
     """``name``: the row's number inside its keys by ``order``, from 1.
 
-    Where the first order column is a number, a group is cut at its approximate quantiles and counts of slices are carried over, so one
-    task sorts a slice and not the group; rows of one value stay together, so the cuts need not be exact. Nulls come first.
+    Where the first order column is a number, a group is cut at equal steps between its least and greatest value and counts of slices are
+    carried over, so one task sorts a slice and not the group. The steps follow from the values alone: the plan reads the rows twice, and
+    approximate quantiles may differ between the two. Nulls come first unless ``nulls_last``.
     """
     first = order[0]
+    by = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in order]
     if not isinstance(rows.schema[first].dataType, NumericType):
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(first, [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts"))
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    value = F.col(first).cast("double")
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
-    cuts = cuts.select(*(F.col(k).alias(f"__{k}") for k in keys), "__cuts")
-    below = F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(first))), F.lit(0))
-    own = rows.join(cuts, same).withColumn("__slice", F.when(F.col(first).isNull(), -1).otherwise(below)).drop("__cuts", *(f"__{k}" for k in keys))
+    ends = ends.select(*(F.col(k).alias(f"__{k}") for k in keys), "__lo", "__hi")
+    # no number where a group has one value or ends in NaN or infinity: its numbers are one slice
+    share = F.try_divide(value - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    step = F.when(share.isNull() | F.isnan(share), 0).otherwise(F.floor(share * SLICES).cast("int"))
+    own = rows.join(ends, same).withColumn("__slice", F.when(F.col(first).isNull(), SLICES + 1 if nulls_last else -1).otherwise(step))
+    own = own.drop("__lo", "__hi", *(f"__{k}" for k in keys))
     counts = own.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*by))
     placed = own.withColumn("__in", inside).join(carried, same & (F.col("__slice") == F.col("__s")))
     return placed.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__before", "__in", "__slice", "__s", *(f"__{k}" for k in keys))
 
 
 def review_queue(units: DataFrame, outer: str = "field", inner: str = "paperId", order: Sequence[str] = ("confidence", "page", "unitId")) -> DataFrame:
     """Interleaved round the outer groups, inside them round the inner groups, inside those by confidence: a position for each row."""
-    own = ranked(units, [outer, inner], order, "__a")
+    own = ranked(units, [outer, inner], order, "__a", nulls_last=True)
     # a round holds one row of each inner group at most, so rounds are counted and only inside them rows are ranked
     rounds = own.groupBy(outer, "__a").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(outer).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = rounds.select(outer, "__a", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(outer, "__a").orderBy(inner))
-    own = own.join(rounds, [outer, "__a"]).withColumn("__b", place.cast("int"))
-    return own.withColumn("queue", F.struct("__b", F.col(outer))).drop("__a", "__b", "__before")
+    rounds = rounds.select(F.col(outer).alias("__o"), F.col("__a").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(outer, "__a").orderBy(F.col(inner).asc_nulls_last()))
+    own = own.join(rounds, F.col(outer).eqNullSafe(F.col("__o")) & (F.col("__a") == F.col("__r"))).withColumn("__b", place.cast("int"))
+    return own.withColumn("queue", F.struct("__b", F.col(outer))).drop("__a", "__b", "__before", "__o", "__r")

@@ -141,3 +141,25 @@ def test_providers():
     assert translate.provider("stub")(["a"]) == translate.stub(["a"])
     with pytest.raises(KeyError):
         translate.provider("none")
+
+
+def test_queue_keeps_rows_without_groups(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, [None, "en", "de"][k % 3], [None, "a", "b"][k % 4 % 3], None if k % 5 == 0 else k % 7) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["interleaved_queue"](spark, str(tmp_path)).select("doc_id", "round", "lang").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(entry.oracle_sql()["interleaved_queue"]).select("doc_id, round, lang").fetchall())
+
+
+def test_ranks_of_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(g, v, k) for g, own in {"a": [1.0, inf, -inf, nan, 2.0], "b": [5.0, 5.0], "c": [1e308, -1e308, 0.0], "d": [1.0, 1.5, 1e9, 1.25]}.items() for k, v in enumerate(own)]
+    got = {(r["g"], r["k"]): r["n"] for r in sample.ranked(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], ["v", "k"], "n").collect()}
+    for g in "abcd":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] != r[1], r[1] if r[1] == r[1] else 0, r[2]))
+        assert [got[g, r[2]] for r in own] == list(range(1, len(own) + 1))
