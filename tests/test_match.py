@@ -122,6 +122,13 @@ def test_joins_by_cascade(spark):
     assert [r["heading"] for r in match.match_headings(e, h).orderBy("ord").collect()] == ["h0", None]
 
 
+def test_headings_that_begin_with_a_number(spark):
+    e = spark.createDataFrame([(1, 0, "2.1 56.187.231.175 Keit", None), (1, 1, "3 Results", None), (1, 2, "2.1 I have", None), (1, 3, "7 Other", None)], "doc int, ord int, title string, page int")
+    h = [(1, 0, 1, "h0", "4763 Results"), (1, 1, 1, "h1", "56.187.231.175 Keit"), (1, 2, 1, "h2", "results"), (1, 3, 1, "h3", "I have"), (1, 4, 1, "h4", "8 Other"), (1, 5, 1, "h5", "9 Other")]
+    h = spark.createDataFrame(h, "doc int, ord int, page int, id string, title string")
+    assert [r["heading"] for r in match.match_headings(e, h).orderBy("ord").collect()] == ["h1", "h2", "h3", "h4"]
+
+
 def test_similarities(spark):
     df = spark.createDataFrame([("abc", "cab "), ("", "x"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(match.charset_jaccard(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
