@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import geometry
 from paperloom.functions.text import GAP_MARK
 from paperloom.operators import match, sample
 
@@ -200,3 +201,37 @@ def test_unit_accuracy_covers_every_line(spark):
     got = {r["doc"]: r["total"] for r in query(spark, sf).collect()}
     wanted = {r["doc_id"]: r["count"] for r in blocks(spark, sf).groupBy("doc_id").count().collect()}
     assert got == wanted and max(got.values()) > 6
+
+
+def test_distances_of_many_pairs(spark):
+    import random
+
+    from paperloom.functions.distance import levenshtein
+
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcdé字\U0001f600 ") for _ in range(n))
+    rows = [(some(n), some(rng.choice([0, 1, 64, 65, 130, 400]))) for n in (0, 1, 2, 63, 64, 65, 127, 128, 129, 200, 399, 400) for _ in range(4)]
+    rows += [(a, "".join(c for c in a if rng.random() < 0.9) + b[:3]) for a, b in rows]
+    df = spark.createDataFrame(rows, "a string, b string").select(levenshtein("a", "b").alias("own"), F.levenshtein("a", "b").alias("plain"))
+    assert all(r["own"] == r["plain"] for r in df.collect())
+
+
+def test_alignment_measures_only_what_can_be_best(spark):
+    """Best pairs equal those over all pairs: repeats, empty texts, boxes, long texts, ties."""
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(2)
+    words = [" ".join(rng.choice(["the", "old", "Mill", "on", "a", "river"]) for _ in range(rng.choice([0, 1, 4, 9, 120]))) for _ in range(24)]
+    rows = [(p, k, k, (float(k % 3 * 5), 0.0, float(k % 3 * 5 + 8), 4.0), rng.choice(words)) for p in range(4) for k in range(16)]
+    layer = spark.createDataFrame(rows, f"page int, id int, ord int, box {BOX}, text string")
+    model = layer.where("id % 2 = 0").withColumn("text", F.expr("concat(text, if(id % 4 = 0, ' mill', ''))"))
+    got = match.align_blocks(model, layer)
+    assert "pythonudf" in got._jdf.queryExecution().optimizedPlan().toString().lower()  # measured in batches, after the bounds
+    m, t = model.select("page", F.col("id").alias("mid"), F.col("box").alias("mb"), F.col("text").alias("mt")), layer.select("page", F.col("id").alias("tid"), F.col("box").alias("tb"), F.col("text").alias("tt"))
+    score = 2 * geometry.iou(F.col("mb"), F.col("tb")) + (1 - match.sentence_distance(F.col("mt"), F.col("tt")))
+    every = m.join(t, "page").withColumn("score", score).where("score >= 0.45")
+    every = every.withColumn("k", F.row_number().over(Window.partitionBy("page", "tid").orderBy(F.col("score").desc(), "mid"))).where("k = 1")
+    key = lambda df: sorted(tuple(r) for r in df.select("page", "tid", "mid", "score").collect())
+    assert key(got) == key(every)
