@@ -135,3 +135,13 @@ def test_lines_with_a_hole_after_another_letter_are_left_out(spark, tmp_path):
     got = entry.queries()["blocks_sanitized"](spark, str(tmp_path)).select("doc_id", "ord", "clean").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(entry.oracle_sql()["blocks_sanitized"]).select("doc_id, ord, clean").fetchall())
     assert [r["doc_id"] for r in got] == [1]
+
+
+def test_plain_words_are_told_apart_before_the_tests_on_chrome(spark):
+    words = "the of a ab abc vol vols preprint preprints copyright method methods letter letters cell cells nature science plos bmj icml iclr proceedings abstract results references arxiv issn no pp x1 a11111 2019 12 vol12".split()
+    words += [" preprint ", "Nature", "et al", "open access", "", "issue", "commentary", "editorial", "perspective", "conference", "workshop", "neurips", "subcell"]
+    df = spark.createDataFrame([(w, x, y, h) for w in words for x in (5.0, 300.0, 600.0) for y in (5.0, 50.0, 400.0, 745.0, 785.0) for h in (8.0, 10.0, 20.0)], "str string, x double, y double, h double")
+    item = [F.col("str"), F.col("x"), F.col("y"), F.col("h"), F.lit(792.0), F.lit(612.0)]
+    quick, full = text.is_page_chrome_item(*item), text._is_page_chrome_item(*item)
+    got = df.select("str", quick.alias("a"), full.alias("b")).collect()
+    assert [r["str"] for r in got if bool(r["a"]) != bool(r["b"])] == [] and any(r["a"] for r in got)
