@@ -235,3 +235,5 @@ def test_alignment_measures_only_what_can_be_best(spark):
     every = every.withColumn("k", F.row_number().over(Window.partitionBy("page", "tid").orderBy(F.col("score").desc(), "mid"))).where("k = 1")
     key = lambda df: sorted(tuple(r) for r in df.select("page", "tid", "mid", "score").collect())
     assert key(got) == key(every)
+    left = match.unmatched(layer, got).select("page", "id").collect()
+    assert sorted(map(tuple, left)) == sorted(set((r[0], r[1]) for r in rows) - {(r["page"], r["tid"]) for r in every.collect()})
