@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,41 @@ def test_alignment_measures_only_what_can_be_best(spark):
     assert key(got) == key(every)
     left = match.unmatched(layer, got).select("page", "id").collect()
     assert sorted(map(tuple, left)) == sorted(set((r[0], r[1]) for r in rows) - {(r["page"], r["tid"]) for r in every.collect()})
+
+
+def test_unmatched_blocks_without_best_pairs(spark, monkeypatch):
+    """As by ``align_blocks``: repeats, empty texts, boxes, long texts, nulls; what bounds decide is not measured."""
+    import datetime
+
+    from paperloom.functions import distance
+    from paperloom.plans import registry
+
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdé字\U0001f600 ") for _ in range(n))
+    texts = [some(n) for n in (0, 1, 5, 63, 64, 65, 130, 400)]
+    for t in texts:
+        for lo, hi in ((0, len(texts)), (2, 6)):
+            assert distance.Patterns(texts).distances(t, lo, hi).tolist() == distance.distances([t] * (hi - lo), texts[lo:hi]).tolist()
+
+    words = [" ".join(rng.choice(["the", "old", "Mill", "on", "a", "river"]) for _ in range(rng.choice([0, 1, 4, 9, 120]))) for _ in range(24)] + [None]
+    day = lambda p: datetime.date(2024, 1, 1 + p) if p else None
+    rows = [(day(p), rng.choice([k, k, k % 7, None]), k, (float(k % 5 * 5), 0.0, float(k % 5 * 5 + 8), 4.0) if k % 9 else None, rng.choice(words), rng.choice([True, False, None]), k % 4 > 0) for p in range(9) for k in range(24)]
+    df = spark.createDataFrame(rows, f"page date, id int, ord int, box {BOX}, text string, model boolean, layer boolean").repartition(3)
+    layer = df.where("layer")
+    got = match.unmatched_blocks(df)
+    assert got.schema == df.select("page", "id").schema
+    key = lambda d: sorted(map(str, d.select("page", "id").collect()))
+    want = key(match.unmatched(layer, match.align_blocks(df.where("model"), layer)))
+    assert key(got) == want and 0 < len(want) < layer.count()
+    assert match.unmatched_blocks(df.limit(0)).collect() == []
+
+    def fail(*_):
+        raise AssertionError("measured")
+
+    monkeypatch.setattr(match, "Patterns", fail)
+    box = np.array([[0.0, k * 9.0, 1.0, k * 9.0 + 1] for k in range(5)])
+    flags = np.array([True, False, False, False, True]), np.ones(5, bool)
+    missed = match._missed(["one text", "one text", "b" * 90, "c", "d" * 400], np.array([8, 8, 90, 1, 400]), [None] * 5, box, *flags)
+    assert missed.tolist() == [False, False, True, True, False]
+    plan = registry.QUERIES["blocks_unmatched"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "pythonudf" not in plan and plan.count("relation [") == 1  # one scan, no pair of lines leaves Python
