@@ -12,6 +12,8 @@ from .common import materialize
 
 #: A task's union-find holds at most so many nodes before it is written out and begun anew.
 FOREST_NODES = 500_000
+#: Up to so many edges left by the tasks are joined by one task, which can hold their nodes.
+LAST_EDGES = FOREST_NODES // 2
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,14 +59,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that is not the smallest of its own component.
 
     ``edges`` holds two long columns; self-loops, repeats and nulls are dropped, no edges give no
-    rows. Each task first reduces its edges to a forest, so dense groups shrink before any shuffle;
-    then large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
+    rows. Each task first reduces its edges to a forest, so dense groups shrink before any shuffle.
+    What is left goes through one more forest where one task can hold it, which spares the driver the plans of all rounds; else
+    large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
     Beyond") run to a fixed point, each written to the shared folder. A node with very many edges
     is a skewed join key, which adaptive execution splits.
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     stars = materialize(pairs.mapInArrow(forest, "u long, v long").distinct(), "edges")
+    if stars.count() <= LAST_EDGES:
+        last = materialize(stars.coalesce(1).mapInArrow(forest, "u long, v long"), "components")
+        return last.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()

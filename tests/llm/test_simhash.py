@@ -133,3 +133,19 @@ def test_keep_one_links_by_five_word_similarity(spark):
     top = components(near)
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if top.get(i, i) == i}
+
+
+def test_components_in_rounds_and_by_one_task(spark, monkeypatch):
+    from paperloom.llm import components as own
+
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)] + [(3, 3)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    want = {x: c for x, c in components(e for e in edges if e[0] != e[1]).items() if x != c}
+    for most in (len(edges), 0):
+        monkeypatch.setattr(own, "LAST_EDGES", most)
+        assert {r["node"]: r["component"] for r in connected_components(df).collect()} == want
+    monkeypatch.setattr(own, "LAST_EDGES", len(edges))
+    monkeypatch.setattr(own, "_large_star", None)  # no round is planned
+    assert connected_components(df).count() == len(want)
