@@ -28,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group linked at a Jaccard similarity of 0.8 over five-word shingles.
 
+    SimHash fingerprints within two bits, found by Golay keys, are verified first; banded minima find the pairs beyond their reach.
     Texts without words are one group; of a tie the smaller id stays; rows without an id always stay.
     """
     return simhash.keep_one(docs)

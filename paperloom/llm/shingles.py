@@ -1,9 +1,9 @@
-"""Near-copies by exact Jaccard similarity of word shingles, candidates from banded minima."""
+"""Near-copies by fingerprints and, beyond their reach, by exact Jaccard similarity of word shingles, candidates from banded minima."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,21 +116,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["u", "v"]).filter(good)
 
 
-def near_copies(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_copies(
+    docs: DataFrame, fingerprint: Callable[[str], int], close: Callable[[DataFrame], DataFrame],
+    size: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row's set (doc_id, set), the sets (set, node: its smallest doc_id), and edges (u, v) between nodes.
 
-    Equal sets are one node. Two sets are candidates if they share the minima of one of the bands, and are
-    linked if the Jaccard similarity of their shingles is 0.8 or more. First each set of a bucket is verified against the next one
+    Equal sets are one node. Two sets are candidates if their texts share a ``fingerprint`` (64 bits) or ``close`` links their
+    fingerprints (it takes distinct ones, fp and node, and returns edges u and v), and if they share the minima of one of the bands. They are
+    linked if the Jaccard similarity of their shingles is 0.8 or more. First what the fingerprints link is verified, and each set of a bucket against the next one
     by size, which joins near copies of one another; then the pairs of a bucket that still lie in different groups are, all of them. The
     edges connect what all pairs at 0.8 connect, and a large group of near copies costs no square of pairs.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            own = [shingles(t, size) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            own, marks = [shingles(t, size) for t in texts], np.array([fingerprint(t) for t in texts], np.uint64)
             cols = [pa.array([number(s) for s in own], pa.int64()), pa.array([bands(s) for s in own], pa.list_(pa.int64()))]
             cols.append(pa.array([len(s) for s in own], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "set", "bands", "size"])
+            cols.append(pa.array(marks.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "set", "bands", "size", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -140,15 +146,21 @@ def near_copies(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text
 
     texts = id_and_text(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(texts.mapInArrow(keyed, "doc_id long, set long, bands array<long>, size long"), "shingles")
-    nodes = rows.where("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    rows = materialize(texts.mapInArrow(keyed, "doc_id long, set long, bands array<long>, size long, fp long"), "shingles")
+    nodes = rows.where("doc_id is not null").groupBy("set").agg(
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.collect_set("fp").alias("fps")
+    )
     nodes = materialize(nodes, "sets")
+    marks = nodes.select(F.explode("fps").alias("fp"), F.col("set").alias("u"))
+    marked = materialize(marks.groupBy("fp").agg(F.min("u").alias("node")), "fingerprints")
+    equal = marks.join(marked, "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    marked_close = equal.unionByName(close(marked)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(True).alias("ok"))
 
     def buckets(sets_: DataFrame, *more: str) -> DataFrame:
         by_key = sets_.select(F.explode("bands").alias("key"), "set", "size", *more)
         return by_key.repartition(parts, "key").sortWithinPartitions("key", "size", "set")
 
-    paths = materialize(buckets(nodes).mapInArrow(_paths, "u long, v long, ok boolean").distinct(), "paths")
+    paths = materialize(buckets(nodes).mapInArrow(_paths, "u long, v long, ok boolean").unionByName(marked_close).distinct(), "paths")
     met = materialize(paths.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "met")
     known = nodes.join(met, "set", "left_semi")
     own = texts.join(known.select("set", "node"), F.col("doc_id") == F.col("node")).select("set", "text", "node")
@@ -159,7 +171,7 @@ def near_copies(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text
         both = pairs.join(a, "u").join(b, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_own", "v_own")
         return materialize(both.mapInArrow(_verified, "u long, v long"), name)
 
-    first = verified(paths.where("ok").select("u", "v"), "near")
+    first = verified(paths.where("ok").select("u", "v").distinct(), "near")
     groups = known.join(connected_components(first), "node", "left").withColumn("group", F.coalesce("component", "node"))
     rest = buckets(groups, "group").mapInArrow(_cross, "u long, v long").distinct()
     return rows.select("doc_id", "set"), nodes.select("set", "node"), first.unionByName(verified(rest, "near-across"))

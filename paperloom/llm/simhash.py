@@ -242,10 +242,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
 def keep_one(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, whole and with all columns.
 
-    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more. Such pairs
-    differ in some ten of 64 bits, which the keys of ``links`` cannot reach, so candidates come from banded minima.
+    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more. Candidates are the texts that Golay keys
+    link at two bits or fewer of their fingerprints, as in ``near_duplicates``, each verified. Many pairs at 0.8 differ in some ten of 64
+    bits, which no such keys reach, so banded minima add the candidates beyond.
     """
-    rows, nodes, edges = near_copies(docs, size, id_col, text_col)
+    rows, nodes, edges = near_copies(docs, fingerprint, links, size, id_col, text_col)
     placed = nodes.join(connected_components(edges), "node", "left").select("set", F.coalesce("component", "node").alias("kept"))
     gone = rows.join(placed, "set").where("doc_id <> kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -135,6 +135,30 @@ def test_keep_one_links_by_five_word_similarity(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if top.get(i, i) == i}
 
 
+def test_keep_one_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """Without any shared minima the verified pairs within two bits are still found, and no others."""
+    from paperloom.llm import shingles
+
+    rng = random.Random(8)
+    texts = []
+    for k in range(20):
+        words = prose(700 + k, 400).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4):
+            own = list(words)
+            for c in rng.sample(range(len(own)), edits):
+                own[c] = f"edited{c}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    close = [(i, j) for i, j in near if (plain(texts[i]) ^ plain(texts[j])).bit_count() <= 2]
+    assert 5 < len(close) < len(near)
+    monkeypatch.setattr(shingles, "bands", lambda own: own[:1].view("int64") ^ shingles.number(own))  # a bucket of its own for each set
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    top = components(close)
+    assert kept == {i for i in range(len(texts)) if top.get(i, i) == i}
+
+
 def test_components_in_rounds_and_by_one_task(spark, monkeypatch):
     from paperloom.llm import components as own
 
