@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: A task's union-find holds at most so many nodes before it is written out and begun anew.
 FOREST_NODES = 500_000
@@ -67,9 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    stars = materialize(pairs.mapInArrow(forest, "u long, v long").distinct(), "edges")
+    stars = materialize(pairs.mapInArrow(lean(forest), "u long, v long").distinct(), "edges")
     if stars.count() <= LAST_EDGES:
-        last = materialize(stars.coalesce(1).mapInArrow(forest, "u long, v long"), "components")
+        last = materialize(stars.coalesce(1).mapInArrow(lean(forest), "u long, v long"), "components")
         return last.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text
+from .common import bound_batches, id_and_text, lean
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -288,7 +288,7 @@ def matches(
                         [pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "kind"]
                     )
 
-        return own.mapInArrow(run, "doc_id long, item_id long, similarity double, kind string")
+        return own.mapInArrow(lean(run), "doc_id long, item_id long, similarity double, kind string")
 
     return reduce(DataFrame.unionByName, map(found, parts(benchmark, part_chars)))
 
@@ -312,5 +312,5 @@ def clean(
                     gone = {r[0] for r in held.value.matches(texts, least)}
                     yield part.filter(pa.array([k not in gone for k in range(part.num_rows)])) if gone else part
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

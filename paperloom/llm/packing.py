@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, kept, lean, materialize, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -67,14 +67,9 @@ class Encoder(dict):
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer: str) -> Encoder:
     """One for each Python worker."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = Encoder(tokenizer)
-    return _encoders[tokenizer]
+    return kept(tokenizer, lambda: Encoder(tokenizer))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -87,7 +82,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             doc, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 all_ids = enc.encode(text) + tail
@@ -260,7 +255,7 @@ def pack(
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
     pieces = id_and_text(docs, id_col, text_col).mapInArrow(
-        _pieces(tokenizer, capacity, end_id, with_ids), schema + (", ids array<int>" if with_ids else "")
+        lean(_pieces(tokenizer, capacity, end_id, with_ids), tokenizer), schema + (", ids array<int>" if with_ids else "")
     )
     pieces = materialize(pieces, "pieces")
     runs = pieces.groupBy("length", "part").agg(F.max("local_rank").alias("last"))
@@ -269,7 +264,9 @@ def pack(
     rows = slots(plan(count, capacity))
     # each fixed set uses up a size, and k distinct sizes fill k * (k + 1) / 2 at least: 44 of them in 1,024 tokens, so there
     # are at most 3 * capacity + 44 * (2 * capacity + 1) rows, and the driver already holds them
-    places = spark.createDataFrame(rows or [(0,) * 6], "len long, a long, b long, base long, m long, off long")
+    # as Arrow: rows of Python objects would go through more workers
+    cols = [pa.array(c, pa.int64()) for c in zip(*(rows or [(0,) * 6]))]
+    places = spark.createDataFrame(pa.Table.from_arrays(cols, ["len", "a", "b", "base", "m", "off"]))
     before = F.expr("sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding)")
     shift = runs.select("length", "part", F.coalesce(before, F.lit(0)).alias("shift"))
     # a row for every task and length grows with the input, so it is never broadcast; no key has more rows than its task

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text
+from .common import bound_batches, id_and_text, lean, slices
 
 #: In the order in which spans are listed; the first four are always kept once confirmed.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
@@ -140,7 +140,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = [[dict(zip(names, s)) for s in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(_SPAN))], ["doc_id", "spans"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), f"doc_id long, spans {SPANS}")
 
 
 def listed(spans_col: str, base_only: bool = False):
@@ -172,12 +172,12 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             k = b.schema.get_field_index(text_col)
             own = [None if t is None else mask(t) for t in b.column(k).to_pylist()]
             yield b.set_column(k, b.schema.field(k), pa.array(own, b.schema.field(k).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if length_col and length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, lean, materialize
 from .components import connected_components
 
 WORDS = 5
@@ -146,7 +146,7 @@ def near_copies(
 
     texts = id_and_text(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(texts.mapInArrow(keyed, "doc_id long, set long, bands array<long>, size long, fp long"), "shingles")
+    rows = materialize(texts.mapInArrow(lean(keyed), "doc_id long, set long, bands array<long>, size long, fp long"), "shingles")
     nodes = rows.where("doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.collect_set("fp").alias("fps")
     )
@@ -160,18 +160,18 @@ def near_copies(
         by_key = sets_.select(F.explode("bands").alias("key"), "set", "size", *more)
         return by_key.repartition(parts, "key").sortWithinPartitions("key", "size", "set")
 
-    paths = materialize(buckets(nodes).mapInArrow(_paths, "u long, v long, ok boolean").unionByName(marked_close).distinct(), "paths")
+    paths = materialize(buckets(nodes).mapInArrow(lean(_paths), "u long, v long, ok boolean").unionByName(marked_close).distinct(), "paths")
     met = materialize(paths.select(F.explode(F.array("u", "v")).alias("set")).distinct(), "met")
     known = nodes.join(met, "set", "left_semi")
     own = texts.join(known.select("set", "node"), F.col("doc_id") == F.col("node")).select("set", "text", "node")
-    own = materialize(own.mapInArrow(sets, "set long, node long, own binary").dropDuplicates(["set"]), "candidate-sets")
+    own = materialize(own.mapInArrow(lean(sets), "set long, node long, own binary").dropDuplicates(["set"]), "candidate-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = (own.select(F.col("set").alias(x), F.col("node").alias(f"{x}_node"), F.col("own").alias(f"{x}_own")) for x in ("u", "v"))
         both = pairs.join(a, "u").join(b, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_own", "v_own")
-        return materialize(both.mapInArrow(_verified, "u long, v long"), name)
+        return materialize(both.mapInArrow(lean(_verified), "u long, v long"), name)
 
     first = verified(paths.where("ok").select("u", "v").distinct(), "near")
     groups = known.join(connected_components(first), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    rest = buckets(groups, "group").mapInArrow(_cross, "u long, v long").distinct()
+    rest = buckets(groups, "group").mapInArrow(lean(_cross), "u long, v long").distinct()
     return rows.select("doc_id", "set"), nodes.select("set", "node"), first.unionByName(verified(rest, "near-across"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, lean, materialize
 from .components import connected_components, forest
 from .shingles import WORDS, near_copies
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             fp = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class Golay:
@@ -213,14 +213,15 @@ def links(nodes: DataFrame) -> DataFrame:
     all three is compared in blocks, and only a spanning forest of what each task finds is written.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_key = nodes.select("fp", "node").mapInArrow(_keyed, "key long, fp long, node long")
+    by_key = nodes.select("fp", "node").mapInArrow(lean(_keyed), "key long, fp long, node long")
     sorted_keys = by_key.repartition(parts, "key").sortWithinPartitions("key")
-    found = materialize(sorted_keys.mapInArrow(_close(2, BUCKET_PAIRS), "u long, v long, key long, fp long"), "links")
+    found = materialize(sorted_keys.mapInArrow(lean(_close(2, BUCKET_PAIRS)), "u long, v long, key long, fp long"), "links")
     pairs = found.where("v is not null").select("u", "v")
     crowded = found.where("v is null").select("key", "fp", F.col("u").alias("node"))
-    finer = crowded.mapInArrow(_finer, "key long, fp long, node long").repartition(parts, "key").sortWithinPartitions("key")
-    close = finer.mapInArrow(_close(2, float("inf")), "u long, v long, key long, fp long").select("u", "v")
-    return pairs.unionByName(materialize(close.mapInArrow(forest, "u long, v long"), "forest"))
+    finer = crowded.mapInArrow(lean(_finer), "key long, fp long, node long").repartition(parts, "key").sortWithinPartitions("key")
+    close = _close(2, float("inf"))
+    joined = finer.mapInArrow(lean(lambda batches: forest(close(batches))), "u long, v long")  # one worker a task for both
+    return pairs.unionByName(materialize(joined, "forest"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hold_out, id_and_text
+from .common import bound_batches, hold_out, id_and_text, lean, slices
 
 #: Labelled rows that the index is fitted on at most: those of the smallest hash of their id.
 EXAMPLES = 4000
@@ -223,7 +223,7 @@ def _chosen(labels: DataFrame, examples: int, id_col: str) -> DataFrame:
     known = labels.select(F.col(id_col).cast("long").alias("own_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("own_id is not null and toxic in (0, 1)").where(~hold_out("own_id", 4, 2))
     chosen = known.groupBy("own_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("own_id"), "own_id").limit(examples)
-    return labels.sparkSession.createDataFrame(chosen.collect(), "own_id long, toxic int")  # bounded by ``examples``
+    return labels.sparkSession.createDataFrame(chosen.toArrow())  # bounded by ``examples``; rows of Python objects would go through more workers
 
 
 def _examples(own: DataFrame, chosen: DataFrame) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], list[str]]:
@@ -232,7 +232,7 @@ def _examples(own: DataFrame, chosen: DataFrame) -> tuple[list[tuple[int, int, n
     chosen ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [sorted(Counter(words(t)).items()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([hashlib.md5(t.encode("utf-8", "replace")).digest() for t in b.column(2).to_pylist()], pa.binary()),
@@ -241,7 +241,7 @@ def _examples(own: DataFrame, chosen: DataFrame) -> tuple[list[tuple[int, int, n
             )
 
     sample = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).select("own_id", "toxic", "text")
-    counted = sample.mapInArrow(run, "own_id long, toxic int, digest binary, terms array<string>, counts array<long>")
+    counted = sample.mapInArrow(lean(run), "own_id long, toxic int, digest binary, terms array<string>, counts array<long>")
     one = counted.groupBy("own_id").agg(F.min(F.struct("digest", "toxic", "terms", "counts")).alias("e"))
     number: dict[str, int] = {}
     found = []
@@ -266,7 +266,7 @@ def _frequencies(own: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, n = held.value.get, len(held.value)
         found = np.zeros(n + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 at = [k for x in set(words(t)) if (k := get(x)) is not None]
                 found[at] += 1
@@ -274,7 +274,7 @@ def _frequencies(own: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
 
-    counted = own.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = own.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)  # at most the examples' terms
     out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     held.unpersist()
@@ -301,7 +301,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = list(held.value.scores(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f[0] for f in found], pa.float64()),
@@ -309,7 +309,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
                 ["doc_id", "score", "evidence", "terms"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double, evidence array<long>, terms array<string>")
 
 
 def keep(docs: DataFrame, labels: DataFrame, reject: float = REJECT, text_col: str = "text") -> DataFrame:
@@ -323,8 +323,8 @@ def keep(docs: DataFrame, labels: DataFrame, reject: float = REJECT, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             yield b.filter(pa.array([s < reject for s, *_ in own.scores(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
