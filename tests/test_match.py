@@ -240,6 +240,21 @@ def test_alignment_measures_only_what_can_be_best(spark):
     assert sorted(map(tuple, left)) == sorted(set((r[0], r[1]) for r in rows) - {(r["page"], r["tid"]) for r in every.collect()})
 
 
+def test_align_blocks_reads_whole_texts(spark):
+    """What lies beyond 400 characters decides, by code points; equal scores go to the first by order, and without a partner nothing comes."""
+    head, far = "the old mill " * 40, (0.0, 50.0, 1.0, 51.0)
+    own = (0.0, 0.0, 1.0, 1.0)
+    layer = spark.createDataFrame([(1, 7, 0, own, head + "é" * 300), (1, 8, 1, own, "x" * 900), (1, 9, 2, own, ""), (2, 7, 0, own, "alone"), (None, 7, 0, own, head)], f"page int, id int, ord int, box {BOX}, text string")
+    model = spark.createDataFrame([(1, "a", 5, far, head + "z" * 300), (1, "b", 6, far, head + "é" * 270), (1, "d", 4, far, head + "é" * 240 + "z" * 30), (1, "c", 3, far, "x" * 400 + "y" * 500), (None, "a", 1, far, head)], f"page int, id string, ord int, box {BOX}, text string")
+    got = match.align_blocks(model, layer, first=None)
+    size = len(head) + 300
+    assert got.schema.simpleString() == "struct<page:int,tid:int,mid:string,score:double>"
+    assert [tuple(r) for r in got.collect()] == [(1, 7, "b", 1 - 30 / size)]  # x and y differ in 500 of 900: 0.444
+    same = model.where("id = 'b'").withColumn("ord", F.lit(9)).withColumn("id", F.lit("0"))
+    assert [r["mid"] for r in match.align_blocks(model.union(same), layer, first=None).collect()] == ["b"]
+    assert match.unmatched_blocks(layer.limit(0).withColumns({"model": F.lit(True), "layer": F.lit(True)}), first=None).collect() == []
+
+
 def test_unmatched_blocks_without_best_pairs(spark, monkeypatch):
     """As by ``align_blocks``: repeats, empty texts, boxes, long texts, nulls; what bounds decide is not measured."""
     import datetime
